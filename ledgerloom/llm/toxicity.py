@@ -225,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int =
     gain = np.where(odds > 1.5, _gain(p, q, n_pos, n_neg), 0)
     terms: dict[str, float] = {}
     # Of terms that tell as much the longest comes first; a beginning of words must add to the terms that it begins.
-    for i in np.lexsort((names, [-len(t) for t in names], -gain)):
-        if gain[i] < 12 or len(terms) == LEXICON:
+    for i in np.lexsort((names, [-len(t.rstrip("*")) for t in names], -gain)):
+        if gain[i] < 20 or len(terms) == LEXICON:
             break
         t, w = names[i], float(min(odds[i], 7.0))
         plain = t.rstrip("*")
