@@ -1,0 +1,111 @@
+"""Whole runs: trace, verify, explain, diff, stability, harness."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.paths import shell_command
+from ..operators import attest, canonical, compare, enrich, merkle, provenance, snapshots
+
+
+def check_drops(dropped: DataFrame, allowed: bool = False) -> int:
+    """How many events were lost; unless that is allowed, any loss is an error."""
+    n = dropped.agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("n")).first().n
+    if n and not allowed:
+        raise RuntimeError(f"{n} events were dropped or malformed")
+    return n
+
+
+def operations(traced: DataFrame, roots: DataFrame, outputs: DataFrame | None, watch: list[str] = ()) -> DataFrame:
+    """Sliced operations for runs with outputs, all operations for the others."""
+    if outputs is None:
+        return canonical.canonicalize(traced, roots, watch)
+    which = outputs.select("run_id").distinct()
+    full = canonical.canonicalize(traced.join(which, "run_id", "left_anti"), roots, watch)
+    return provenance.canonicalize_slice(traced.join(which, "run_id", "left_semi"), roots.join(which, "run_id", "left_semi"), outputs).unionByName(full)
+
+
+def trace(raw: DataFrame, observations: DataFrame, roots: DataFrame, before: DataFrame, after: DataFrame, command: list[str], watch: list[str] = (), output_roots: list[str] = (), wanted: DataFrame | None = None, allow_drops: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Attestations and operations of recorded runs; ``roots``: run_id, pid, cwd, root, obs."""
+    events, dropped = enrich.traced(raw, observations, roots, watch)
+    check_drops(dropped, allow_drops)
+    outputs = snapshots.select_outputs(before, after, output_roots, wanted)
+    ops = operations(enrich.with_root_exec(events, roots), roots, outputs, watch)
+    explicit = bool(output_roots) or wanted is not None
+    chosen = {"mode": "explicit" if explicit else "inferred", "output_roots": list(output_roots), "artifacts": [] if wanted is None else [r.path for r in wanted.select("path").distinct().orderBy("path").collect()]}
+    return attest.assemble(ops, outputs, command, chosen), ops
+
+
+def verify(expected: DataFrame, actual: DataFrame, pinned: str | None = None) -> DataFrame:
+    """One row per document of ``expected`` (joined with ``actual`` by run_id): ``verdict``, null if they agree.
+
+    In order: the document itself, a pinned root, the command, the policy of outputs, the root.
+    """
+    e = attest.validated(expected).select("run_id", "error", *(F.col(c).alias(f"e_{c}") for c in ("root_hash", "command", "output_selection")))
+    both = e.join(actual.select("run_id", "root_hash", "command", "output_selection"), "run_id", "left")
+    checks = [
+        (F.col("error").isNotNull(), F.col("error")),
+        (F.lit(pinned is not None) & (F.col("e_root_hash") != F.lit(pinned or "")), F.lit("root differs from the pinned one")),
+        (F.col("root_hash").isNull(), F.lit("nothing to compare with")),
+        (F.col("e_command") != F.col("command"), F.lit("command differs")),
+        (F.col("e_output_selection") != F.col("output_selection"), F.lit("output selection differs")),
+        (F.col("e_root_hash") != F.col("root_hash"), F.lit("root differs")),
+    ]
+    verdict = F.lit(None).cast("string")
+    for condition, said in reversed(checks):
+        verdict = F.when(condition, said).otherwise(verdict)
+    return both.select("run_id", verdict.alias("verdict"))
+
+
+def explain(docs: DataFrame) -> DataFrame:
+    """Documents in short: version, roots, command as typed, counts."""
+    return attest.validated(docs).select("version", "root_hash", "process_root", shell_command(F.col("command")).alias("command"), F.col("output_selection.mode").alias("mode"), F.size("outputs").alias("outputs"), F.col("tree.leaf_count").alias("operations"), "error", "warning")
+
+
+def diff(expected: DataFrame, actual: DataFrame, n: int = 12) -> dict[str, DataFrame]:
+    """What differs between two documents: summary, outputs (no more than 20 are shown), leaves (n a side)."""
+    leaves = [d.select(F.explode("tree.leaves").alias("leaf")) for d in (expected, actual)]
+    outputs = [d.select(F.explode("outputs").alias("o")).select("o.*") for d in (expected, actual)]
+    delta = merkle.leaf_diff(*leaves)
+    changes = compare.output_delta(*outputs).where("change <> 'same'")
+    e, a = (d.select(F.struct("root_hash", "command", "output_selection", F.col("tree.leaf_count").alias("operations")).alias(name)) for d, name in ((expected, "e"), (actual, "a")))
+    summary = e.join(F.broadcast(a)).select(*((F.col(f"e.{c}") == F.col(f"a.{c}")).alias(f"same_{c}") for c in ("root_hash", "command", "output_selection", "operations")), compare.list_delta(F.col("e.command"), F.col("a.command")).alias("command_delta"))
+    return {"summary": summary, "outputs": changes.orderBy("path").limit(20), "output_counts": changes.groupBy("change").count(), "leaves": compare.first_of_each(delta, "side", "leaf", n)}
+
+
+def stability(docs: DataFrame, baseline: str) -> tuple[DataFrame, DataFrame]:
+    """Per document and over all: agreement with the one whose ``source`` is ``baseline``; at least two are needed."""
+    if docs.limit(2).count() < 2:
+        raise ValueError("at least 2 runs are needed")
+    base = docs.where(F.col("source") == baseline)
+    leaves = docs.select(F.col("source").alias("run_id"), F.explode("tree.leaves").alias("leaf"))
+    first = base.select(F.col("root_hash").alias("_r"), F.col("process_root").alias("_p"))
+    runs = docs.select(F.col("source").alias("run_id"), "root_hash", "process_root").join(F.broadcast(first)).select("run_id", (F.col("root_hash") == F.col("_r")).alias("root_match"), (F.col("process_root") == F.col("_p")).alias("process_root_match"))
+    rows = merkle.stability(leaves, base.select(F.explode("tree.leaves").alias("leaf")), runs)
+    return rows.withColumnRenamed("run_id", "path"), merkle.stability_summary(rows)
+
+
+def is_stable(summary: DataFrame) -> bool:
+    """What the strict mode asks for: every run has the baseline's root."""
+    row = summary.first()
+    return row.run_count == row.root_matches
+
+
+def report(rows: DataFrame, summary: DataFrame) -> str:
+    """A stability report as text."""
+    s = summary.first()
+    share = 100.0 * s.root_matches / s.run_count if s.run_count else 0.0
+    lines = [f"Runs: {s.run_count}", f"Root matches: {s.root_matches} ({share:.1f}%)", f"Process root matches: {s.process_root_matches}", f"Leaf similarity: least {s.minimum_leaf_jaccard:.4f}, mean {s.mean_leaf_jaccard:.4f}"]
+    lines += [f"  {r.path}: {'same' if r.root_match else 'differs'}, {r.leaf_count} leaves, {r.missing_leaves} missing, {r.added_leaves} added" for r in rows.orderBy("path").toLocalIterator()]
+    return "\n".join(lines)
+
+
+def harness(traced: DataFrame, roots: DataFrame, command: list[str], runs: int, outputs: DataFrame | None = None, watch: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """All runs of one command in one job: attestations, then their stability against the least run_id."""
+    if runs < 2:
+        raise ValueError("at least 2 runs are needed")
+    ops = operations(traced, roots, outputs, watch)
+    none = ops.select("run_id").limit(0).withColumns({"path": F.lit(""), "hash": F.lit("")})
+    docs = attest.assemble(ops, none if outputs is None else outputs, command).withColumn("source", F.col("run_id").cast("string"))
+    return stability(docs, str(roots.agg(F.min("run_id")).first()[0]))

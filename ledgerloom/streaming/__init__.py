@@ -1,0 +1,36 @@
+"""Incremental canonicalization: events arrive as a stream, a run's operations leave when the run has ended."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import canonical, merkle
+
+
+def canonicalize_stream(events: DataFrame, path: str, checkpoint: str, roots: DataFrame, watch: list[str] = (), emit: Callable[[DataFrame, int], None] | None = None):
+    """A streaming query that keeps events in a table by run and, as soon as a run's root has exited, emits its roots.
+
+    State is the table itself (``path``/events, by run), so it may exceed any
+    memory and survives restarts; a batch that is repeated writes the same
+    folder again.  A run's root process exits once, which is the end marker;
+    events after it belong to no batch and are left in the table.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/events/batch={number}")
+        root = roots.select("run_id", "root")
+        own = (F.col("process.pid") == F.col("root.pid")) & (F.col("process.generation") == F.col("root.generation"))
+        ended = df.where("kind = 'Exit'").join(root, "run_id").where(own).select("run_id").distinct()
+        stored = spark.read.schema(df.schema).parquet(f"{path}/events")
+        done = stored.join(ended, "run_id", "left_semi").select(*df.columns)
+        ops = canonical.canonicalize(done, roots, watch)
+        out = merkle.roots(ops)
+        out.write.mode("overwrite").parquet(f"{path}/roots/batch={number}")
+        if emit is not None:
+            emit(out, number)
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
