@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.hashing import op_hash
 from ..functions.paths import can_read, can_write, identity, is_system_state, maps_writes, watched
+from ..tables import materialize
 from . import descriptors
 from .process import with_tools
 
@@ -62,7 +63,8 @@ def operations(traced: DataFrame, roots: DataFrame | None = None, watch: list[st
     """
     watch = list(watch)
     events = with_tools(without_unwatched(traced.withColumn("external", F.coalesce("external", F.lit(False))), watch))
-    events = with_fallback(_with_root(events, roots), watch)
+    # Written once: marks, numbers and operations are all made from it.
+    events = materialize(with_fallback(_with_root(events, roots), watch), "events")
     kind, ident, outside = F.col("kind"), identity(F.col("obs")), F.col("outside")
     flags, prot = F.coalesce("flags", F.lit(0).cast("long")), F.coalesce("prot", F.lit(0).cast("long"))
     system = is_system_state(F.col("path")) & ~outside

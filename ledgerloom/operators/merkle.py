@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_pair, pair
+from ..tables import materialize
 
 BLOCK_BITS = 12
 #: Characters of a leaf that deal it to a range: the prefix and four digits.
@@ -16,7 +17,7 @@ EMPTY = pair("empty", "empty")
 
 def fold(leaves: Column, levels: Column) -> Column:
     """Pairwise hashes, ``levels`` times, of an array whose length is a power of two."""
-    step = lambda row, _: F.transform(F.sequence(F.lit(0), F.size(row) / 2 - 1).cast("array<int>"), lambda i: hash_pair(row[2 * i], row[2 * i + 1]))
+    step = lambda row, _: F.transform(F.sequence(F.lit(0), (F.size(row) / 2 - 1).cast("int")), lambda i: hash_pair(row[2 * i], row[2 * i + 1]))
     folded = F.aggregate(F.when(levels > 0, F.sequence(F.lit(1), F.greatest(levels, F.lit(1)))).otherwise(F.array().cast("array<int>")), leaves, step)
     return folded[0]
 
@@ -43,7 +44,7 @@ def positions(leaves: DataFrame) -> DataFrame:
 
     Leaves are dealt by a prefix that keeps their order; each range is numbered by itself and moved by what lies before it.
     """
-    d = leaves.select("run_id", "leaf").distinct().withColumn("_r", F.substring("leaf", 1, _RANGE))
+    d = materialize(leaves.select("run_id", "leaf").distinct().withColumn("_r", F.substring("leaf", 1, _RANGE)), "leaves")
     counts = d.groupBy("run_id", "_r").agg(F.count("*").alias("n"))
     before = Window.partitionBy("run_id").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("run_id", "_r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
@@ -59,9 +60,8 @@ def roots(leaves: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     what pads the upper levels is the root of a block of padding.
     """
     placed = positions(leaves).withColumn("_b", F.floor(F.col("pos") / (1 << bits)))
-    blocks = placed.groupBy("run_id", "_b").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-    blocks = blocks.withColumn("n", F.size("leaves"))
-    sizes = placed.groupBy("run_id").agg(F.count("*").alias("leaf_count"))
+    blocks = materialize(placed.groupBy("run_id", "_b").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")), "blocks")
+    sizes = blocks.groupBy("run_id").agg(F.sum(F.size("leaves")).cast("long").alias("leaf_count"))
     blocks = blocks.join(sizes, "run_id")
     several = F.col("leaf_count") > (1 << bits)
     top = F.when(several, F.lit(fold_levels := bits)).otherwise(_levels(F.col("leaf_count")))
