@@ -10,6 +10,9 @@ member is first compared with the least one only, so a group of copies costs
 its size, not its square.  A second pass then compares, in buckets that still
 hold several components, the members outside the least one's component with
 all others: no link between components is lost, and none is tested inside one.
+There 1024 minima tell apart what is just below the limit, each pair meets in
+the first band that it shares, and what passes is within 4.5 standard
+deviations of the limit or above it.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import IdBitmap, as_bytes, hash_words, materialize, mix64, spread
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
+#: For the second pass: more minima, so that families of documents just below the limit are told apart by their bits.
+FINE = 1024
 _U = np.uint64
 
 
@@ -54,24 +59,50 @@ def shingles(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def _sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and packed low bits of the minima of each of the sets, none of which is empty."""
+def _minima(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """The least of each of n hashes over each of the sets, none of which is empty."""
     start = np.cumsum([0, *(len(s) for s in sets[:-1])])
     every = np.concatenate(sets)
-    minima = np.empty((MINIMA, len(sets)), dtype=_U)
-    for k, (a, b) in enumerate(zip(_odd(MINIMA, 1), _odd(MINIMA, 2), strict=True)):
+    minima = np.empty((n, len(sets)), dtype=_U)
+    for k, (a, b) in enumerate(zip(_odd(n, 1), _odd(n, 2), strict=True)):
         minima[k] = np.minimum.reduceat(every * a + b, start)
-    minima = mix64(minima)
+    return mix64(minima)
+
+
+def _packed(minima: np.ndarray) -> np.ndarray:
+    """The low bits of each set's minima, as many to a long as fit."""
+    low, per = minima & _U((1 << BITS) - 1), 64 // BITS
+    packed = np.zeros((len(minima) // per, minima.shape[1]), dtype=_U)
+    for j in range(per):
+        packed |= low[j::per] << _U(BITS * j)
+    return packed.T
+
+
+def _sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and packed low bits of the minima of each of the sets."""
+    minima = _minima(sets, MINIMA)
     bands = np.zeros((BANDS, len(sets)), dtype=_U)
     for r in range(ROWS):
         bands = mix64(bands + minima[r::ROWS])
     bands = mix64(bands + np.arange(BANDS, dtype=_U)[:, None])
-    low = minima & _U((1 << BITS) - 1)
-    per = 64 // BITS
-    packed = np.zeros((MINIMA // per, len(sets)), dtype=_U)
-    for j in range(per):
-        packed |= low[j::per] << _U(BITS * j)
-    return bands.T, packed.T
+    return bands.T, _packed(minima)
+
+
+def _in_groups(sets: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of sets that aren't empty, in groups of bounded size (or of one)."""
+    group: list[int] = []
+    for i in range(len(sets)):
+        if len(sets[i]):
+            if group and sum(len(sets[g]) for g in group) + len(sets[i]) > 60_000:
+                yield group
+                group = []
+            group.append(i)
+    if group:
+        yield group
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
 
 
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"
@@ -84,36 +115,47 @@ def _sketch(size: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = shingles(as_bytes(part.column(1)), size)
-                full = [i for i, s in enumerate(sets) if len(s)]
                 bands, bits = np.zeros((len(sets), BANDS), _U), np.zeros((len(sets), MINIMA * BITS // 64), _U)
-                group: list[int] = []
-                for i in full:
-                    group.append(i)
-                    if i == full[-1] or sum(len(sets[g]) for g in group) > 60_000:
-                        bands[group], bits[group] = _sketches([sets[g] for g in group])
-                        group = []
+                for group in _in_groups(sets):
+                    bands[group], bits[group] = _sketches([sets[g] for g in group])
                 key = [np.array([mix64(s ^ _U(salt)).sum(dtype=_U) if len(s) else _U(0) for s in sets], dtype=_U).view(np.int64) for salt in (3, 0x5851F42D4C957F2D)]
-                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(key[0]), pa.array(key[1]), lists(bands), lists(bits)], names=["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(key[0]), pa.array(key[1]), _lists(bands), _lists(bits)], names=["doc_id", "n_shingles", "k1", "k2", "bands", "bits"])
+
+    return run
+
+
+def _fine(size: int):
+    """More bits of some documents: ``doc_id``, ``fine``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = shingles(as_bytes(part.column(1)), size)
+                bits = np.zeros((len(sets), FINE * BITS // 64), _U)
+                for group in _in_groups(sets):
+                    bits[group] = _packed(_minima([sets[g] for g in group], FINE))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(bits)], names=["doc_id", "fine"])
 
     return run
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, minima: int = MINIMA) -> Column:
     """Similarity from packed low bits: the share of equal fields, less what chance gives."""
     field = 0
     for i in range(0, 64, BITS):
         field |= 1 << i
     field = F.lit(field - (1 << 64) if field >> 63 else field).cast("long")
     differ = F.lit(0)
-    for i in range(MINIMA * BITS // 64):
+    for i in range(minima * BITS // 64):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         shift = BITS
         while shift > 1:
             shift //= 2
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         differ = differ + F.bit_count(x.bitwiseAND(field))
-    equal = 1 - differ / MINIMA
+    equal = 1 - differ / minima
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -183,9 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4) -> DataFr
     same = members.where(F.col("doc_id") > F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = materialize(members.where(F.col("doc_id") == F.col("rep")).select("doc_id", "n_shingles", "bands", "bits"), "reps")
 
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where(F.col("least") < F.col("most"))
-    buckets = materialize(banded.join(shared.select("key", "least"), "key").select("key", "doc_id", "least"), "buckets")
+    buckets = materialize(banded.join(shared.select("key", "least"), "key").select("key", "band", "doc_id", "least"), "buckets")
 
     signed = reps.select("doc_id", "n_shingles", "bits")
     floor = percent / 100 - 0.19  # five standard deviations of the estimate
@@ -205,11 +247,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4) -> DataFr
     label = lambda of, to: found.select(F.col("id").alias(of), F.col("component").alias(to))
     rows = buckets.join(label("doc_id", "own"), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
     rows = rows.join(label("least", "main"), "least", "left").withColumn("main", F.coalesce("main", "least"))
-    rows = materialize(rows.select("key", "doc_id", "own", "main"), "labelled")
-    rest = rows.where(F.col("own") != F.col("main")).join(signed, "doc_id")
-    every = rows.join(rest.select("key").distinct(), "key", "left_semi").join(signed, "doc_id")
-    x, y = (t.select("key", F.col("doc_id").alias(a), F.col("own").alias(f"o{a}"), F.col("n_shingles").alias(f"n{a}"), F.col("bits").alias(f"s{a}"), (F.col("own") == F.col("main")).alias(f"m{a}")) for t, a in ((rest, "x"), (every, "y")))
-    near = (F.col("ox") != F.col("oy")) & (F.col("my") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (estimate("sx", "sy") >= floor)
+    rows = materialize(rows.select("key", "band", "doc_id", "own", "main"), "labelled")
+    mixed = rows.where(F.col("own") != F.col("main")).select("key").distinct()
+    every = materialize(rows.join(mixed, "key", "left_semi"), "mixed")
+    ids = every.select("doc_id").distinct()
+    fine = IdBitmap(ids).keep(texts, "doc_id").join(ids, "doc_id").select("doc_id", "text").mapInArrow(_fine(size), "doc_id long, fine array<long>")
+    # 32 bits of each band's key, to tell the first band that two documents share: there alone they are compared.
+    firsts = reps.select("doc_id", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"))
+    bits = materialize(signed.join(ids, "doc_id").join(fine, "doc_id").join(firsts, "doc_id"), "fine")
+    every = every.join(bits, "doc_id")
+
+    def side(df: DataFrame, a: str) -> DataFrame:
+        main = F.col("own") == F.col("main")
+        return df.select("key", "band", F.col("doc_id").alias(a), F.col("own").alias(f"o{a}"), main.alias(f"m{a}"), F.col("n_shingles").alias(f"n{a}"), F.col("bits").alias(f"s{a}"), F.col("fine").alias(f"f{a}"), F.col("bands").alias(f"b{a}"))
+
+    x, y = side(every.where(F.col("own") != F.col("main")), "x"), side(every, "y").drop("band")
+    common = F.when(F.col("bx")[0] == F.col("by")[0], 0)
+    for i in range(1, BANDS):
+        common = common.when(F.col("bx")[i] == F.col("by")[i], i)
+    near = (F.col("ox") != F.col("oy")) & (F.col("my") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    near = near & (common == F.col("band")) & (estimate("sx", "sy") >= floor) & (estimate("fx", "fy", FINE) >= percent / 100 - 0.06)
     pairs = x.join(y, (x.key == y.key) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
