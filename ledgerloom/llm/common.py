@@ -67,8 +67,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> Dat
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(column).cast("int").alias("y"))
     known = materialize(known.orderBy(F.xxhash64("_id"), "_id").limit(limit), "labels")
-    chosen = docs.join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("_id"))
-    return materialize(chosen.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "y").repartition(16), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return materialize(texts.join(F.broadcast(known), "_id").select("text", "y").repartition(16), "labelled")
 
 
 def held_out(doc_id: Column) -> Column:
