@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = 1000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
@@ -47,7 +48,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan's rows over all cores: small inputs come as one file, and Python stages then run in one task."""
+    """A scan's rows over all cores, for a Python stage: small inputs come as one file, and would run in one task.
+
+    Batches for Python are kept to BATCH_ROWS, so that a worker's memory follows neither the table nor its longest texts much.
+    """
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(conf, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(conf, str(BATCH_ROWS))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df if df.rdd.getNumPartitions() >= min(n, 8) else df.repartition(n)
 

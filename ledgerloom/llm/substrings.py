@@ -150,19 +150,20 @@ def duplicate_ranges(texts: DataFrame, window: int) -> DataFrame:
     """``doc_id``, ``t`` (a hash of the text), ``ranges``: word ranges [from, to) that start windows of smaller documents."""
     blocks = lambda: spread(texts).where(F.col("doc_id").isNotNull()).mapInArrow(_blocks(window), BLOCK)
     anchors = blocks().groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-    anchors = anchors.where(F.col("d0") < F.col("d1")).select("a", (F.col("c0") == F.col("c1")).alias("one"), "d0")
+    # What is joined with is written first: both sides are then plain exchanges, and partitions of a very common anchor can be split.
+    anchors = materialize(anchors.where(F.col("d0") < F.col("d1")).select("a", (F.col("c0") == F.col("c1")).alias("one"), "d0"), "anchors")
     shared = materialize(blocks().join(anchors, "a"), "blocks")
     span = lambda df, lo, hi: df.select("doc_id", "t", F.col(lo).alias("from"), (F.col(hi) + window).alias("to"))
     interior = shared.where(F.col("one") & (F.col("doc_id") > F.col("d0")))
     mixed = shared.where(~F.col("one")).drop("d0")
-    first = mixed.groupBy("a", "c").agg(F.min("doc_id").alias("d0"))
+    first = materialize(mixed.groupBy("a", "c").agg(F.min("doc_id").alias("d0")), "first")
     mixed = materialize(mixed.join(first, ["a", "c"]), "boundaries")
     # Of blocks with equal words the least document alone is looked into; the others have them from it.
     edge = mixed.where(F.col("doc_id") == F.col("d0")).groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi", "a")).alias("blocks"))
     edge = materialize(edge, "edges")
     wanted = IdBitmap(edge.select("doc_id")).keep(texts, "doc_id").dropDuplicates(["doc_id", "t"])
     windows = materialize(wanted.join(edge, ["doc_id", "t"]).mapInArrow(_windows(window), "doc_id long, t int, a long, w long, start int"), "windows")
-    seen = windows.groupBy("a", "w").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where(F.col("d0") < F.col("d1"))
+    seen = materialize(windows.groupBy("a", "w").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where(F.col("d0") < F.col("d1")), "seen")
     single = windows.join(seen, ["a", "w"]).where(F.col("doc_id") > F.col("d0"))
     ranges = span(interior, "lo", "hi").union(span(mixed.where(F.col("doc_id") > F.col("d0")), "lo", "hi")).union(span(single, "start", "start"))
     return ranges.groupBy("doc_id", "t").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
