@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning
-from .common import held_out, labelled, process_cache, spread
+from .common import as_bytes, held_out, labelled, materialize, process_cache, spread
+from .near_duplicates import shingles
 
 LABELLED = 16_000
 CANDIDATES, LEXICON, EXCEPTIONS = 40_000, 256, 5_000
 SHORTEST, LONGEST = 3, 9
 AROUND = 5
+SPELLING = 0.85
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "“”„«»‘’…–—¡¿"
 _OPEN, _SHUT = "\"“„«‘", "\"”“»’"
 _REPORT = frozenset("said says wrote writes called quote quoted word term phrase reads".split())
@@ -155,7 +157,8 @@ class Reader:
         hits = self.found(words)
         if not hits:
             return [0.0] * len(FEATURES)
-        exact, near, quoted, told, count = {}, {}, {}, 0, 0
+        # A misspelled term counts as the term, a little less; what the regression learns of misspellings corrects that.
+        meant, near, quoted, told, count = {}, {}, {}, 0, 0
         for i, w in enumerate(words):
             if w in hits:
                 weight, misspelled, plain = hits[w]
@@ -163,10 +166,12 @@ class Reader:
                 if is_quoted(before, w, after):
                     quoted[plain] = weight
                     continue
-                count += not misspelled
-                told += not misspelled and not _TOLD.isdisjoint(map(bare, before + after))
-                (near if misspelled else exact)[plain] = weight
-        return [min(sum(exact.values()), 30) / 6, max(exact.values(), default=0.0), np.log1p(count), np.log1p(len(exact)), min(count / len(words), 0.2) * 10, min(sum(near.values()), 12) / 6, min(sum(quoted.values()), 12) / 6, np.log1p(told)]
+                count += 1
+                told += not _TOLD.isdisjoint(map(bare, before + after))
+                meant[plain] = weight * (SPELLING if misspelled else 1)
+                if misspelled:
+                    near[plain] = weight
+        return [min(sum(meant.values()), 30) / 6, max(meant.values(), default=0.0), np.log1p(count), np.log1p(len(meant)), min(count / len(words), 0.2) * 10, min(sum(near.values()), 12) / 6, min(sum(quoted.values()), 12) / 6, np.log1p(told)]
 
 
 FEATURES = ("sum", "most", "count", "kinds", "share", "misspelled", "quoted", "told")
@@ -202,12 +207,28 @@ def _gain(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarra
     return 2 * sum(t * np.log(t * total / (rows[i // 2] * columns[i % 2])) for i, t in enumerate(table))
 
 
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """One of the sample's texts for each least 4-word shingle: near copies nearly always share it, and then count once.
+
+    Otherwise all words of a toxic text that was copied often would look like terms.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            least = [int(x[0]) - (1 << 63) if len(x) else 0 for x in shingles(as_bytes(batch.column("text")), 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "y", "least"])
+
+    marked = spread(sample).mapInArrow(run, "text string, y int, least long")
+    return materialize(marked.groupBy("least").agg(F.min(F.struct("text", "y")).alias("r")).select("r.*"), "distinct")
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = LABELLED) -> Model:
     """Learn a lexicon and a regression from at most ``limit`` labelled rows that aren't held out.
 
     Without labels of both kinds nothing is toxic (or, if all are, everything).
     """
-    sample = labelled(docs, labels, column, limit)
+    sample = _without_copies(labelled(docs, labels, column, limit))
     sizes = {r["y"] > 0: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_neg:
