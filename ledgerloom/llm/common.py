@@ -111,8 +111,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return cache["up"], cache["down"]
 
 
-def _piece_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the words of a piece that ends with a space, and a 64-bit polynomial hash of each word."""
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_MARK = ~_ALNUM & ~_SPACE
+_MARK[128:] = _MARK[:32] = _MARK[127] = False
+
+
+def _without_marks(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the marks that follow their last ASCII letter or digit as words of their own."""
+    other = np.maximum.accumulate(np.where(_MARK[a], -1, np.arange(len(a))))[end - 1]
+    cut = np.flatnonzero((other >= start) & (other < end - 1) & _ALNUM[a[np.maximum(other, 0)]])
+    at = other[cut] + 1
+    return np.sort(np.concatenate([start, at])), np.sort(np.concatenate([end, at]))
+
+
+def _piece_words(buf: bytes, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a piece that ends with a space, and a 64-bit polynomial hash of each word."""
     a = np.frombuffer(buf, dtype=np.uint8)
     space = _SPACE[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -120,16 +134,20 @@ def _piece_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return start.astype(np.int64), np.zeros(0, dtype=_U)
+        return start.astype(np.int64), end.astype(np.int64), np.zeros(0, dtype=_U)
+    if marks:
+        start, end = _without_marks(a, start, end)
     up, down = _powers(len(a))
     total = np.cumsum((a.astype(_U) + _U(1)) * up[: len(a)], dtype=_U)
     before = np.where(start > 0, total[np.maximum(start, 1) - 1], _U(0))
     value = (total[end - 1] - before) * down[start]
-    return start.astype(np.int64), mix64(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return start.astype(np.int64), end.astype(np.int64), mix64(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one after another, and each text's first place among them.
+def locate_words(texts: list[bytes | None], lower: bool = False, marks: bool = False) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts; starts, ends and hashes of all their words; and each text's first place among these.
+
+    With ``marks`` those after a word's last letter or digit count as a word.
 
     Works through pieces of about 1 MB cut at spaces, so memory does not follow the longest text.
     """
@@ -137,16 +155,22 @@ def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarr
     if lower:
         buf = buf.translate(ASCII_LOWER)
     begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-    starts, hashes, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=_U)], 0
+    found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))], 0
     while at < len(buf):
         cut = len(buf) if len(buf) - at <= _PIECE else max(buf.rfind(b, at, at + _PIECE) for b in (b" ", b"\n")) + 1
         if cut <= at:  # a word longer than a piece
             cut = min(x for x in (buf.find(b, at + _PIECE) for b in (b" ", b"\n")) if x >= 0) + 1
-        s, h = _piece_words(buf[at:cut])
-        starts.append(s + at)
-        hashes.append(h)
+        start, end, h = _piece_words(buf[at:cut], marks)
+        found.append((start + at, end + at, h))
         at = cut
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
+    starts, ends, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+    return buf, starts, ends, hashes, np.searchsorted(starts, begins)
+
+
+def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after another, and each text's first place among them."""
+    _, _, _, hashes, at = locate_words(texts, lower)
+    return hashes, at
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -8,10 +8,11 @@ padded; sequences of one length are numbered together, as a bucket.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import process_cache, scratch, spread
+from .common import as_bytes, locate_words, process_cache, scratch, spread
 
-#: Splitting here keeps every id: the tokenizer drops these five white spaces and joins nothing across them.
-_GAP = re.compile(r"[ \t\n\x0b\x0c\r]+")
-_MEMO = 400_000
+#: A character that is an id of its own, between words that are encoded together.
+_BETWEEN = "\x01"
+#: Words remembered in each of two generations.
+_MEMO = 300_000
+#: ASCII characters that are neither letters nor digits nor white space; letters and digits never join with them.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def default_tokenizer() -> str:
@@ -32,32 +36,101 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, else one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in visible else next(hidden)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes; remembers a bounded number of words."""
+    """Ids of texts in UTF-8.
+
+    The tokenizer drops ASCII white space and joins nothing across it, so ids
+    are those of the words between.  New words are encoded many at a time:
+    words of letters alone, with marks after them or not, by the tokenizer's
+    model in place of all its steps (they are one piece each, in lower case),
+    any others by all steps.  Words are remembered by their 64-bit hash in
+    two generations: of what was used since the last change of generations
+    nothing is forgotten, and memory stays bounded.
+    """
 
     def __init__(self, definition: bytes):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition.decode("utf-8"))
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > _MEMO:
-            self.memo = {"": b""}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_GAP.split(t) for t in texts]
-        new = set().union(*split) - self.memo.keys() if split else set()
-        if new:
-            self._learn(sorted(new))
-            if any(w not in self.memo for ws in split for w in ws):  # the memo began anew
-                self._learn(sorted(set().union(*split)))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        text = definition.decode("utf-8")
+        self.whole = Tokenizer.from_str(text)
+        self.model = Tokenizer.from_str(json.dumps(json.loads(text) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
+        self.character = byte_characters()
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        (self.between,) = self.whole.encode(f" {_BETWEEN} ", add_special_tokens=False).ids
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _together(self, tokenizer, words: list[str], between: str) -> list[bytes] | None:
+        """Ids of each word; None if a word has the id that stands between them."""
+        ids = np.array(tokenizer.encode_batch_fast([f" {between} ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.between)
+        if len(cuts) != len(words) - 1:
+            return None
+        raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+
+    def _plain(self, core: str) -> str | None:
+        """Letters as the model has them, for letters beyond ASCII; None if all steps are needed."""
+        if not core.isalpha() or "Σ" in core or "İ" in core or not is_normalized("NFC", core):
+            return None
+        return "".join([self.character[b] for b in core.lower().encode()])
+
+    def _learn(self, words: list[tuple[int, bytes]]) -> None:
+        plain, other = [], []
+        for h, w in words:
+            text = w.decode("utf-8")
+            core = text.rstrip(_MARKS)
+            letters = (core.lower() if core.isalpha() else None) if core.isascii() else self._plain(core)
+            if letters is None:
+                other.append((h, text))
+            else:
+                plain.append((h, letters, text[len(core) :]))
+        cores, known = list({core for _, core, _ in plain}), {}
+        for at in range(0, len(cores), 512):
+            part = cores[at : at + 512]
+            ids = self._together(self.model, part, self.character[ord(_BETWEEN)])
+            known.update(zip(part, ids or [np.array(self.model.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in part], strict=True))
+        for marks in {m for *_, m in plain} - self.marks.keys():
+            self.marks[marks] = self._one(marks)
+        self.young.update((h, known[core] + self.marks[marks]) for h, core, marks in plain)
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        for at in range(0, len(other), 512):
+            part = other[at : at + 512]
+            ids = self._together(self.whole, [text for _, text in part], _BETWEEN) or [self._one(text) for _, text in part]
+            self.young.update(zip((h for h, _ in part), ids, strict=True))
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        # The tokenizer takes marks after a letter or digit for a piece of their own, and all letters in lower case; but special
+        # strings, which start with these two marks, it knows only as they are.
+        plain = not any(t and b"<|" in t for t in texts)
+        buf, starts, ends, hashes, at = locate_words(texts, lower=plain, marks=plain)
+        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.young) > _MEMO:
+            self.young, self.old = {}, self.young
+        kinds, young, old = kinds.tolist(), self.young, self.old
+        new = [i for i, h in enumerate(kinds) if h not in young]
+        young.update((kinds[i], old[kinds[i]]) for i in new if kinds[i] in old)
+        self._learn([(kinds[i], buf[starts[first[i]] : ends[first[i]]]) for i in new if kinds[i] not in old])
+        values = [young[h] for h in kinds]
+        pool = np.frombuffer(b"".join(values), dtype="<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begin = np.cumsum(size) - size
+        n = size[which]
+        last = np.cumsum(n)
+        ids = pool[np.repeat(begin[which] - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+        bounds = np.concatenate([[0], last])[at]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def cut(n: int, longest: int) -> list[int]:
@@ -96,17 +169,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end
             cache.clear()
             cache[key] = Encoder(definition.value)
         encoder, task, count = cache[key], TaskContext.get().partitionId(), dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        tail = np.array([end_id], dtype="<u4")
+        np.seterr(over="ignore")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += tail
-                    n, start = len(ids) // 4, 0
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(as_bytes(part.column(1))), strict=True):
+                    ids = np.concatenate([ids, tail])
+                    n, start = len(ids), 0
                     for length in cut(n, longest):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc, start, length, zlib.crc32(piece), n, task, count[length], *([np.frombuffer(piece, dtype="<i4")] * with_ids)))
+                        piece = ids[start : start + length]
+                        rows.append((doc, start, length, zlib.crc32(piece), n, task, count[length], *([piece.view("<i4")] * with_ids)))
                         count[length] += 1
                         start += length
                 columns = list(zip(*rows, strict=True))
