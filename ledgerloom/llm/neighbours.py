@@ -141,7 +141,12 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes
     short = materialize(short, "short")
     if short.isEmpty():
         return best
-    pack = F.udf(lambda v: np.array(v, dtype=np.float64).tobytes(), "binary")
-    rows = valid.select(F.lit(0).cast("long").alias("bucket"), F.lit(False).alias("query"), "id", pack("v").alias("v"))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.array([np.array(v, dtype=np.float64).tobytes() for v in batch.column(1).to_pylist()], dtype=object)
+            yield _rows(np.zeros(len(raw), np.int64), np.zeros(len(raw), bool), batch.column(0).to_numpy(), raw)
+
+    rows = spread(valid).mapInArrow(together, "bucket long, query boolean, id long, v binary")
     exact = _ranked(rows.unionByName(rows.join(short, "id", "left_semi").withColumn("query", F.lit(True)).select("bucket", "query", "id", "v")), k)
     return best.join(short, best.query_id == short.id, "left_anti").unionByName(exact)
