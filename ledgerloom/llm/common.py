@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,9 +60,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def process_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across tasks."""
+    """A dictionary that lives as long as the Python worker, across tasks, until one of another name is asked for."""
     module = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache"))
-    return module.__dict__.setdefault(name, {})
+    kept = module.__dict__.setdefault("kept", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = {}
+    return kept[name]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
@@ -149,7 +153,7 @@ def locate_words(texts: list[bytes | None], lower: bool = False, marks: bool = F
 
     With ``marks`` those after a word's last letter or digit count as a word.
 
-    Works through pieces of about 1 MB cut at spaces, so memory does not follow the longest text.
+    Works through pieces of about 256 KB cut at spaces, so memory does not follow the longest text.
     """
     buf = b"\n".join(t or b"" for t in texts) + b"\n"
     if lower:
@@ -181,39 +185,25 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 class IdBitmap:
-    """Which rows may have one of the ids: a bitmap of fixed size, so it may be broadcast whatever the number of ids.
+    """Which rows may have one of the ids: a bitmap of fixed size, so it may go to every task whatever the number of ids.
 
-    It has no false negatives; where it fills up, the prefilter passes more rows and the join after it decides.
+    It has no false negatives; where it fills up, the prefilter passes more
+    rows and the join after it decides.  The bits are put together by the
+    executors, by words of 64, and reach the filter as a scalar subquery.
     """
 
     def __init__(self, ids: DataFrame, bits: int = 1 << 22):
         self.bits = bits
-        column = ids.columns[0]
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = np.zeros(bits, dtype=bool)
-            for batch in batches:
-                bitmap[batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bitmap).tobytes()])], names=["b"])
-
-        place = ids.where(F.col(column).isNotNull()).select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("p"))
-        parts = place.coalesce(8).mapInArrow(mark, "b binary").toLocalIterator()
-        bitmap = np.zeros(bits // 8, dtype=np.uint8)
-        for part in parts:
-            bitmap |= np.frombuffer(part.b, dtype=np.uint8)
-        self.shared = ids.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+        spark, place = ids.sparkSession, F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits))
+        marked = ids.where(F.col(ids.columns[0]).isNotNull()).select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+        # One row for each word, so that the words in order are the bitmap.
+        words = spark.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")).union(marked).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        whole = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.transform("w", lambda x: x["bits"]).alias("bitmap"))
+        self.bitmap = materialize(whole, "bitmap")
 
     def keep(self, df: DataFrame, column: str, others: bool = False) -> DataFrame:
         """Rows that may have one of the ids; with ``others``, exactly the rest (a null id included)."""
-        shared, bits = self.shared, self.bits
-
-        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), count=bits).astype(bool)
-            for batch in batches:
-                place = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-                found = np.where(place >= 0, bitmap[place], False) != others
-                kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-                yield kept.filter(pa.array(found))
-
-        placed = df.withColumn("_place", F.when(F.col(column).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(column), F.lit(bits))))
-        return placed.mapInArrow(passing, df.schema)
+        place = F.pmod(F.xxhash64(column), F.lit(self.bits))
+        word = F.get(self.bitmap.scalar(), F.shiftright(place, 6).cast("int"))
+        found = F.col(column).isNotNull() & (F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return df.where(~found if others else found)

@@ -25,7 +25,7 @@ from .common import as_bytes, locate_words, process_cache, scratch, spread
 #: A character that is an id of its own, between words that are encoded together.
 _BETWEEN = "\x01"
 #: Words remembered in each of two generations.
-_MEMO = 300_000
+_MEMO = 200_000
 #: ASCII characters that are neither letters nor digits nor white space; letters and digits never join with them.
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
