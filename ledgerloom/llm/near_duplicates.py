@@ -141,22 +141,25 @@ def _fine(size: int):
     return run
 
 
+def _unequal(x: Column, y: Column) -> Column:
+    """In how many fields two packed longs differ."""
+    field = sum(1 << i for i in range(0, 64, BITS))
+    x, shift = x.bitwiseXOR(y), BITS
+    while shift > 1:
+        shift //= 2
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(field - (1 << 64) if field >> 63 else field).cast("long")))
+
+
 def estimate(a: str, b: str, minima: int = MINIMA) -> Column:
     """Similarity from packed low bits: the share of equal fields, less what chance gives."""
-    field = 0
-    for i in range(0, 64, BITS):
-        field |= 1 << i
-    field = F.lit(field - (1 << 64) if field >> 63 else field).cast("long")
-    differ = F.lit(0)
-    for i in range(minima * BITS // 64):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        shift = BITS
-        while shift > 1:
-            shift //= 2
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(field))
-    equal = 1 - differ / minima
-    chance = 2.0**-BITS
+    if minima == MINIMA:
+        differ = F.lit(0)
+        for i in range(minima * BITS // 64):
+            differ = differ + _unequal(F.col(a)[i], F.col(b)[i])
+    else:  # too many to write out
+        differ = F.aggregate(F.zip_with(a, b, _unequal), F.lit(0), lambda n, x: n + x)
+    equal, chance = 1 - differ / minima, 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
 
@@ -220,14 +223,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialize(spread(texts).mapInArrow(_sketch(size), SKETCH), "sketches")
     full = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join's sides are plain exchanges and a class of very many copies can be split.
+    classes = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     members = full.join(classes, ["k1", "k2"])
     same = members.where(F.col("doc_id") > F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     reps = materialize(members.where(F.col("doc_id") == F.col("rep")).select("doc_id", "n_shingles", "bands", "bits"), "reps")
 
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where(F.col("least") < F.col("most"))
-    buckets = materialize(banded.join(shared.select("key", "least"), "key").select("key", "band", "doc_id", "least"), "buckets")
+    shared = materialize(shared.select("key", "least"), "shared")
+    buckets = materialize(banded.join(shared, "key").select("key", "band", "doc_id", "least"), "buckets")
 
     signed = reps.select("doc_id", "n_shingles", "bits")
     floor = percent / 100 - 0.19  # five standard deviations of the estimate
