@@ -264,7 +264,7 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir, _ODD).select("event_id", "path", paths.normalize(F.col("path")).alias("normal"))
 
 
-@query(rf"WITH {_paths_sql(_ODD)}, {_NORMAL} SELECT event_id, 'missing:sha256:' || sha256(encode('repx-path-v1') || '\x00'::BLOB || encode(normal)) AS identity FROM n")
+@query(rf"WITH {_paths_sql(_ODD)}, {_NORMAL} SELECT event_id, 'missing:sha256:' || sha256(encode('{schema.PATH_DOMAIN[:-1].decode()}') || '\x00'::BLOB || encode(normal)) AS identity FROM n")
 def missing_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = F.struct(F.lit("missing").alias("kind"), paths.hash_path(F.col("path")).alias("hash"))
     return _paths(spark, sf_dir, _ODD).select("event_id", paths.identity(obs).alias("identity"))
