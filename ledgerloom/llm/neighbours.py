@@ -3,12 +3,14 @@
 A table rotates unit vectors by three rounds of random signs and the fast
 Hadamard transform and assigns each to the nearest signed axis.  A query looks
 into the buckets of its nearest axes in every table; what it finds there is
-ranked by exact inner products.  Inner products of vectors of unequal length
-become those of unit vectors by one more coordinate for the data.
+ranked by exact inner products.  Vectors of unequal length are hashed by
+direction in bands of similar length, each with buckets of its own, and a query
+looks into every band.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize, spread
 
 DATA_BLOCK, QUERY_BLOCK = 4096, 1024
+#: The longest vector of a level is at most so many times the shortest.
+LEVEL = 1.25
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -47,6 +51,18 @@ def _valid(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
+def _bands(levels: list[tuple[int, int]], least: int) -> tuple[list[int], list[int]]:
+    """The first level and the rows of each band, from levels in order with their rows: neighbours are one band while they have at most ``least`` rows."""
+    first, rows = [], []
+    for level, n in levels:
+        if rows and rows[-1] + n <= least:
+            rows[-1] += n
+        else:
+            first.append(level)
+            rows.append(n)
+    return first, rows
+
+
 def _best(k: int):
     """The k nearest of a block for each query in it: chosen by a matrix product, scored by sums in fixed order."""
 
@@ -93,23 +109,26 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes
 
     Vectors that are null, zero, or hold null or non-finite numbers take no
     part, nor do those of another length than most; rows that share an id are
-    one candidate with its best score, and never their own neighbour.  A query
-    that finds fewer than k in its buckets is compared with all rows, in
-    blocks.  An empty table gives an empty result.  Recall on uniformly random
-    directions, the hardest case, is what ``tables`` and ``probes`` are set for.
+    one candidate with its best score, and never their own neighbour.  Where
+    lengths (norms) are unequal, a band of at most ``least`` rows is compared
+    whole with every query, and a larger one is hashed like a table of its own.
+    A query that finds fewer than k is compared with all rows, in blocks.  An
+    empty table gives an empty result.  Recall on uniformly random directions,
+    the hardest case, is what ``tables`` and ``probes`` are set for.
     """
     valid = _valid(df, id_col, vector)
     found = valid.agg(F.mode(F.size("v")).alias("d")).first()
     d = found.d or 1
     valid = valid.where(F.size("v") == d)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    lengths = valid.agg(F.max(norm).alias("most"), F.min(norm).alias("least"), F.count("*").alias("n")).first()
-    most = lengths.most or 1.0
-    # Where all lengths are equal the additional coordinate is zero for all, and is left out.
-    wide = d + (most - (lengths.least or most) > 1e-6 * most)
-    width = 1 << max(0, (wide - 1).bit_length())
+    largest = F.array_max(F.transform("v", F.abs))
+    norm = F.log(largest) + F.log(F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x)) / 2
+    most = valid.agg(F.max(norm).alias("most")).first().most or 0.0
+    valid = valid.withColumn("level", F.floor((F.lit(most) - norm) / math.log(LEVEL) + 1e-6).cast("long"))
+    first, sizes = _bands(sorted(map(tuple, valid.groupBy("level").count().collect())), least)
+    width = 1 << max(0, (d - 1).bit_length())
     # A query looks into more buckets where those would hold fewer than ``least`` rows of all tables together.
-    probes = min(2 * width, max(probes, -(-least * 2 * width // (tables * max(1, lengths.n)))))
+    looks = [min(2 * width, max(probes, -(-least * 2 * width // (tables * n)))) for n in sizes]
+    whole = np.array([len(sizes) > 1 and n <= least for n in sizes], dtype=bool)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,18 +137,24 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes
                 ids = part.column(0).to_numpy()
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in part.column(1).to_pylist()])
                 raw = np.array([v.tobytes() for v in x], dtype=object)
-                asked = np.flatnonzero(ids % every == 0)
+                band = np.searchsorted(first, part.column(2).to_numpy(), side="right") - 1
+                asked, dealt = np.flatnonzero(ids % every == 0), np.flatnonzero(~whole[band])
+                rest = np.flatnonzero(whole[band])
+                yield _rows(band[rest] * tables * 2 * width, np.zeros(len(rest), bool), ids[rest], raw[rest])
+                for b in np.flatnonzero(whole):
+                    yield _rows(np.full(len(asked), b * tables * 2 * width), np.ones(len(asked), bool), ids[asked], raw[asked])
+                if whole.all():
+                    continue
                 padded = np.zeros((len(x), width))
-                padded[:, :d] = x / most
-                queries = padded[asked].copy()
-                if wide > d:
-                    padded[:, d] = np.sqrt(np.maximum(0, 1 - (padded[:, :d] ** 2).sum(axis=1)))
+                padded[:, :d] = x / np.abs(x).max(axis=1, keepdims=True)
                 for t in range(tables):
-                    near = axis_scores(padded, t, seed).argmax(axis=1)
-                    yield _rows(t * 2 * width + near, np.zeros(len(x), bool), ids, raw)
+                    scores = axis_scores(padded, t, seed)
+                    yield _rows((band[dealt] * tables + t) * 2 * width + scores[dealt].argmax(axis=1), np.zeros(len(dealt), bool), ids[dealt], raw[dealt])
                     if len(asked):
-                        probe = np.argsort(-axis_scores(queries, t, seed), axis=1, kind="stable")[:, :probes]
-                        yield _rows((t * 2 * width + probe).ravel(), np.ones(probe.size, bool), np.repeat(ids[asked], probes), np.repeat(raw[asked], probes))
+                        near = np.argsort(-scores[asked], axis=1, kind="stable")
+                        for b in np.flatnonzero(~whole):
+                            probe = near[:, : looks[b]]
+                            yield _rows(((b * tables + t) * 2 * width + probe).ravel(), np.ones(probe.size, bool), np.repeat(ids[asked], looks[b]), np.repeat(raw[asked], looks[b]))
 
     def _rows(bucket: np.ndarray, query: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(query), pa.array(ids, pa.int64()), pa.array(raw.tolist(), pa.binary())], names=["bucket", "query", "id", "v"])

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,6 +453,23 @@ def test_neighbours(spark):
     assert len(exact) == 20
 
 
+@pytest.mark.parametrize("lengths", ["one long", "unequal"])
+def test_neighbours_of_unequal_length(spark, tmp_path, lengths):
+    """A table too large for its buckets to be read through: one long vector among equal ones, and lengths of all kinds."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(24000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(24000) == 77, 3.0, 1.0)[:, None] if lengths == "one long" else np.exp(0.3 * rng.normal(size=(24000, 1)))
+    pq.write_table(pa.table({"vec_id": np.arange(24000), "embedding": list(x)}), tmp_path / "v.parquet")
+    got = defaultdict(set)
+    for r in neighbours.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), every=200).collect():
+        got[r.query_id].add(r.vec_id)
+    s = x[::200] @ x.T
+    s[np.arange(120), np.arange(0, 24000, 200)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert sum(len(got[200 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size >= 0.9
+
+
 def test_rotation():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(neighbours.hadamard(neighbours.hadamard(x)), x) and np.allclose(np.linalg.norm(neighbours.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
