@@ -1,6 +1,7 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by shared blocks and windows, in place of a greedy relative Lempel-Ziv parse.
 
-Every document is factored against all documents of smaller id.  The index has
+Every document is compared with all documents of smaller id; no longest
+matches are parsed, and factors here are ranges without a source.  The index has
 blocks cut by content: of the 43 runs of eight words in each window of 50, the
 one of least hash (rightmost on ties) is its anchor, and a block is the words
 of all neighbouring windows with one anchor.  Equal windows have equal anchors,
