@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
 STEPS = 60
 GROUP = 4096
@@ -96,11 +96,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, key
 def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mixed corpus itself: each row as often as it has copies, with the columns it had."""
     key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    copies = mix(docs, weights, cap, key).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("copies").alias("_copies"))
-    # Rows that are wholly equal are told apart by number alone.
+    copies = mix(docs, weights, cap, key).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    copies = materialize(copies.where("_sum > 0"), "copies")
     joined = docs.withColumn("_k", key).join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")))
-    n = F.when(F.size("_copies") == 1, F.col("_copies")[0]).otherwise(F.floor((F.aggregate("_copies", F.lit(0).cast("long"), lambda a, x: a + x) + F.size("_copies") - 1) / F.size("_copies")))
-    joined = joined.withColumn("_n", n.cast("int")).where(F.col("_n") > 0)
+    whole, uneven = F.floor(F.col("_sum") / F.col("_rows")), F.col("_sum") % F.col("_rows") != 0
+    if copies.where(uneven).isEmpty():
+        joined = joined.withColumn("_n", whole.cast("int"))
+    else:
+        # Rows that are wholly equal are told apart by number alone: the first ones take what is left over.
+        number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_rows"))
+        some = joined.where(uneven).withColumn("_n", (whole + F.when(number <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)).cast("int"))
+        joined = joined.where(~uneven).withColumn("_n", whole.cast("int")).unionByName(some)
+    joined = joined.where(F.col("_n") > 0)
     return joined.withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 

@@ -394,6 +394,17 @@ def test_mixing(spark, docs):
     assert mixing.mixed(docs.limit(0)).collect() == [] and mixing.repeat_rows(docs.limit(0)).collect() == []
 
 
+def test_repeated_rows_are_mixed_as_decided(spark):
+    """Equal rows together have the copies that mix gave them, at a rate that is no whole number."""
+    rows = [(1, "one two three four five", "en", "a", 23)] * 300 + [(2, "six seven", "en", "b", 9)] * 40
+    df = spark.createDataFrame(rows, DOCS)
+    taken = Counter()
+    for r in mixing.mixed(df).collect():
+        taken[r.doc_id] += r.taken // r.size
+    got = Counter(r.doc_id for r in mixing.repeat_rows(df).collect())
+    assert got == +taken and 0 < got[1] and got[1] % 300
+
+
 def test_balance(spark):
     """The rates solve the dual: exp(x) times the size is the target."""
     df = spark.createDataFrame([(10.0, 30.0), (10.0, 1e-4), (5.0, 5.0), (0.0, 0.0), (7.0, 2.0)], "s double, t double")
