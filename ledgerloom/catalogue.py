@@ -50,7 +50,7 @@ def _digest(*parts: Column | str) -> Column:
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     e = e.withColumns({"k": F.get_json_object("props", "$.k").cast("int"), "run_id": F.floor((F.day("ts") - 1) / 7).cast("long")})
-    return e.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id")).cast("long"))
+    return process.by_time(e, F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"])
 
 
 def trace_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -579,3 +579,6 @@ def ed25519_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "nation").select("n_nationkey", signed("n_name").alias("e")).select("n_nationkey", "e.*")
     e = e.withColumn("payload", F.when(F.col("n_nationkey") % 2 == 1, F.base64(_text("x").cast("binary"))).otherwise(F.col("payload")))
     return dsse.verify_envelopes(e, dsse.public_key(seed)).select("n_nationkey", "verified")
+
+
+from . import forest  # noqa: E402, F401  (its queries join these)

@@ -167,9 +167,8 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def resolve(raw: Column, dfd: Column, target: Column, cwd: Column, root_cwd: Column) -> Column:
-    """An absolute path from one as captured: what the system said, else below the working folder."""
-    base = F.coalesce(cwd, F.when(dfd == schema.AT_FDCWD, root_cwd))
+def resolve(raw: Column, target: Column, base: Column) -> Column:
+    """An absolute path from one as captured: what the system said, else below the folder it starts from."""
     seen = F.regexp_replace(target, r" \(deleted\)$", "")
     agreed = F.when(seen.isNotNull() & ((seen == raw) | F.endswith(seen, F.concat(F.lit("/"), F.regexp_replace(raw, r"^\./", "")))), seen)
     joined = F.when(base.isNotNull(), F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), raw))

@@ -10,7 +10,7 @@ from ..functions.hashing import op_hash
 from ..functions.paths import can_read, can_write, identity, is_system_state, maps_writes, watched
 from ..tables import materialize
 from . import descriptors
-from .process import with_tools
+from .process import SLOT, numbered, with_tools
 
 _STRINGS = "array<string>"
 
@@ -62,7 +62,9 @@ def operations(traced: DataFrame, roots: DataFrame | None = None, watch: list[st
     (``root``) of each run.  Without roots no process is the root.
     """
     watch = list(watch)
-    events = with_tools(without_unwatched(traced.withColumn("external", F.coalesce("external", F.lit(False))), watch))
+    # Only what happens to files can be external.
+    external = F.coalesce("external", F.lit(False)) & ~F.col("kind").isin("Exec", "Fork", "Exit")
+    events = with_tools(without_unwatched(traced.withColumn("external", external), watch))
     # Written once: marks, numbers and operations are all made from it.
     events = materialize(with_fallback(_with_root(events, roots), watch), "events")
     kind, ident, outside = F.col("kind"), identity(F.col("obs")), F.col("outside")
@@ -114,9 +116,9 @@ def operations(traced: DataFrame, roots: DataFrame | None = None, watch: list[st
     seen = events.where(appears).groupBy("run_id", "process").agg(F.min("seq").alias("_first"))
     roots_of = _with_root(seen.withColumn("external", F.lit(False)), roots)
     seen = roots_of.withColumn("_own_root", F.coalesce(F.col("process") == F.col("root"), F.lit(False)))
-    by_first = Window.partitionBy("run_id").orderBy("_own_root", "_first")
-    number = F.when(F.col("_own_root"), 0).otherwise(F.row_number().over(by_first) - (F.lit(1) if roots is None else F.lit(0)))
-    seen = seen.select("run_id", "process", "_first", number.cast("long").alias("_index"))
+    others = numbered(seen.where("NOT _own_root"), ["run_id"], F.floor(F.col("_first") / SLOT), ["_first"], "_index")
+    others = others.withColumn("_index", F.col("_index") - (1 if roots is None else 0))
+    seen = others.unionByName(seen.where("_own_root").withColumn("_index", F.lit(0).cast("long"))).select("run_id", "process", "_first", "_index")
     events = events.withColumn("_made", made).where(F.size("_made") > 0).join(seen, ["run_id", "process"], "left")
     is_root_instance = F.coalesce(F.col("process") == F.col("root"), F.lit(False))
     known = (kind != "Exit") | is_root_instance | F.coalesce(F.col("_first") < F.col("seq"), F.lit(False))

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import identity
 from ..tables import materialize
 
 
+#: About how many rows are numbered together.
+SLOT = 1 << 16
+
+
+def numbered(df: DataFrame, keys: list[str], slot: Column, order: list, name: str) -> DataFrame:
+    """Add ``name``: each row's number from 1 within its ``keys`` by ``order``, without a window over all rows of a key.
+
+    ``slot`` rises with the order and deals a key's rows to ranges; each is
+    numbered by itself, and moved by what the ranges before it hold.
+    """
+    df = df.withColumn("_slot", F.coalesce(slot.cast("long"), F.lit(-1).cast("long")))
+    counts = df.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_slot").orderBy(*order)
+    df = df.withColumn("_nth", F.row_number().over(within)).join(counts, [*keys, "_slot"])
+    return df.withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_slot", "_nth", "_before")
+
+
+def by_time(df: DataFrame, time: Column, order: list, name: str = "seq") -> DataFrame:
+    """``numbered`` within each run, in ranges of equal time; a run has as many as its number of events asks for."""
+    df = df.withColumn("_time", time)
+    spans = df.groupBy("run_id").agg(F.min("_time").alias("_least"), F.greatest(F.lit(1.0), (F.max("_time") - F.min("_time")).cast("double") * SLOT / F.count("*")).alias("_width"))
+    df = df.join(spans, "run_id")
+    slot = F.floor((F.col("_time") - F.col("_least")).cast("double") / F.col("_width"))
+    return numbered(df, ["run_id"], slot, order, name).drop("_time", "_least", "_width")
+
+
 def sequence(raw: DataFrame) -> DataFrame:
     """Add ``seq``: raw events of a run by time, then kind, process and operation."""
-    order = Window.partitionBy("run_id").orderBy("timestamp_ns", "kind", "pid", "operation_id")
-    return raw.withColumn("seq", F.row_number().over(order).cast("long"))
+    return by_time(raw, F.col("timestamp_ns"), ["timestamp_ns", "kind", "pid", "operation_id"])
 
 
 def lifetimes(events: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -42,25 +69,32 @@ def lifetimes(events: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return rows.join(born, ["run_id", "seq", "child_pid"], "left")
 
 
-def inherited_tools(events: DataFrame) -> DataFrame:
-    """``run_id``, ``child``, ``inherited``: the tool that each forked instance takes from its parent at the fork.
+def inherited(values: DataFrame, forks: DataFrame) -> DataFrame:
+    """``run_id``, ``child``, ``inherited``: the value that each child takes from its parent at the fork.
 
-    A parent that hasn't run a tool since its own fork passes on what it
-    inherited; such chains are followed by doubling, in as many rounds as the
-    logarithm of the longest.
+    ``values``: run_id, seq, who, value; ``forks``: run_id, seq, who, child.  A
+    parent without a value of its own passes on what it inherited; such chains
+    are followed by doubling, in as many rounds as the logarithm of the longest.
     """
-    forks = events.where(F.col("kind") == "Fork").select("run_id", "seq", F.col("process").alias("who"), "child")
-    execs = events.where(F.col("kind") == "Exec").select("run_id", "seq", F.col("process").alias("who"), identity(F.col("obs")).alias("tool"))
-    marks = execs.withColumn("child", F.lit(None).cast(forks.schema["child"].dataType)).unionByName(forks.withColumn("tool", F.lit(None).cast("string")))
+    kind = values.schema["value"].dataType
+    marks = values.select("run_id", "seq", "who", "value").withColumn("child", F.lit(None).cast(forks.schema["child"].dataType))
+    marks = marks.unionByName(forks.select("run_id", "seq", "who", F.lit(None).cast(kind).alias("value"), "child"))
     before = Window.partitionBy("run_id", "who").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    found = marks.withColumn("tool", F.last("tool", ignorenulls=True).over(before)).where(F.col("child").isNotNull())
-    links = found.select("run_id", "child", F.when(F.col("tool").isNull(), F.col("who")).alias("up"), "tool")
+    found = marks.withColumn("value", F.last("value", ignorenulls=True).over(before)).where(F.col("child").isNotNull())
+    links = found.select("run_id", "child", F.when(F.col("value").isNull(), F.col("who")).alias("up"), "value")
     while True:
-        links = materialize(links, "tools")
+        links = materialize(links, "inherited")
         if links.where(F.col("up").isNotNull()).isEmpty():
-            return links.select("run_id", "child", F.col("tool").alias("inherited"))
-        above = links.select("run_id", F.col("child").alias("up"), F.col("tool").alias("_tool"), F.col("up").alias("_up"))
-        links = links.join(above, ["run_id", "up"], "left").select("run_id", "child", F.col("_up").alias("up"), F.coalesce("tool", "_tool").alias("tool"))
+            return links.select("run_id", "child", F.col("value").alias("inherited"))
+        above = links.select("run_id", F.col("child").alias("up"), F.col("value").alias("_value"), F.col("up").alias("_up"))
+        links = links.join(above, ["run_id", "up"], "left").select("run_id", "child", F.col("_up").alias("up"), F.coalesce("value", "_value").alias("value"))
+
+
+def inherited_tools(events: DataFrame) -> DataFrame:
+    """``run_id``, ``child``, ``inherited``: the tool that each forked instance takes from its parent."""
+    forks = events.where(F.col("kind") == "Fork").select("run_id", "seq", F.col("process").alias("who"), "child")
+    execs = events.where(F.col("kind") == "Exec").select("run_id", "seq", F.col("process").alias("who"), identity(F.col("obs")).alias("value"))
+    return inherited(execs, forks)
 
 
 def with_tools(events: DataFrame) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.hashing import op_hash
-from ..functions.paths import ancestors, can_read, can_write, content_hash, identity, is_system_state, maps_writes, rewrite_prefix
+from ..functions.paths import can_read, can_write, content_hash, identity, is_system_state, maps_writes
 from ..tables import materialize
-from . import descriptors
+from . import descriptors, moves
 from .canonical import finalize
-from .process import inherited_tools
+from .process import inherited_tools, numbered
 
 
 def aliases(rows: DataFrame, renames: DataFrame) -> DataFrame:
@@ -23,23 +23,27 @@ def aliases(rows: DataFrame, renames: DataFrame) -> DataFrame:
     come about, for writes that were recorded late.  A path meets a rename
     through its ancestors, which makes the prefix condition an equality.
     """
-    renames = renames.select("run_id", F.col("from_path").alias("_a"), "to_path", F.col("seq").alias("_s"))
+    chunks = moves.listed(renames)
 
-    def pass_(state: DataFrame) -> DataFrame:
-        state = materialize(state.groupBy("run_id", "path", "writer").agg(F.min("avail").alias("avail")), "aliases")
-        front = state
+    def pass_(rows: DataFrame, who: list[str]) -> DataFrame:
+        """Rows and what they become, each path with the least time from which it holds; every round looks at new or earlier ones only."""
+        least = lambda df: df.groupBy("run_id", "path", *who).agg(F.min("avail").alias("avail"))
+        front = state = materialize(least(rows), "aliases")
         while True:
-            met = front.withColumn("_a", F.explode(ancestors(F.col("path")))).join(renames, ["run_id", "_a"]).where(F.col("_s") > F.col("avail"))
-            new = met.select("run_id", rewrite_prefix(F.col("path"), F.col("_a"), F.col("to_path")).alias("path"), "writer", F.col("_s").alias("avail"))
-            new = new.groupBy("run_id", "path", "writer").agg(F.min("avail").alias("avail"))
-            known = state.withColumnRenamed("avail", "_known")
-            front = materialize(new.join(known, ["run_id", "path", "writer"], "left").where(F.col("_known").isNull() | (F.col("avail") < F.col("_known"))).drop("_known"), "front")
+            met = moves.next_renames(front, chunks, "path", "avail")
+            new = least(met.select("run_id", moves.renamed("path").alias("path"), *who, F.col("_s").alias("avail")))
+            known = least(state).withColumnRenamed("avail", "_known")
+            new = new.join(known, ["run_id", "path", *who], "left").where(F.col("_known").isNull() | (F.col("avail") < F.col("_known"))).drop("_known")
+            front = materialize(new, "aliases")
             if front.isEmpty():
                 return state
-            state = materialize(state.unionByName(front).groupBy("run_id", "path", "writer").agg(F.min("avail").alias("avail")), "aliases")
+            state = state.unionByName(front)
 
-    first = pass_(rows.select("run_id", "path", "writer", "avail"))
-    return pass_(first.withColumn("avail", F.lit(-1).cast("long"))).select("run_id", "path", "writer").distinct()
+    first = materialize(pass_(rows.select("run_id", "path", "writer", "avail"), ["writer"]).select("run_id", "path", "writer").distinct(), "aliases")
+    # The second time all start together, so that paths suffice, whoever wrote them.
+    again = first.select("run_id", "path", F.col("path").alias("origin"), F.lit(-1).cast("long").alias("avail")).distinct()
+    names = pass_(again, ["origin"]).select("run_id", "path", "origin").distinct()
+    return names.join(first.select("run_id", F.col("path").alias("origin"), "writer"), ["run_id", "origin"]).select("run_id", "path", "writer").distinct()
 
 
 def closure(reads: DataFrame, by_hash: DataFrame, by_path: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,14 +139,12 @@ def flows_of(traced: DataFrame) -> dict[str, DataFrame]:
     forks = events.where("kind = 'Fork'").select("run_id", "seq", "process.pid", "process.generation", F.col("child.pid").alias("child_pid"), F.col("child.generation").alias("child_generation"))
     ended = descriptors.match(marks, forks).where("action = 'close' AND pending IS NOT NULL AND obs IS NOT NULL")
     # A close without a path has that of the open, as renamed meanwhile.
-    bare = ended.where("closed_path IS NULL")
-    if not bare.isEmpty() and not renames.isEmpty():
-        listed = renames.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "from_path", "to_path"))).alias("_moves"))
-        ended = ended.join(listed, "run_id", "left")
-        between = F.filter(F.coalesce("_moves", F.array().cast(listed.schema["_moves"].dataType)), lambda r: (r["seq"] > F.col("pending.seq")) & (r["seq"] < F.col("seq")))
-        now = F.aggregate(between, F.col("pending.path"), lambda p, r: F.coalesce(rewrite_prefix(p, r["from_path"], r["to_path"]), p))
-    else:
-        now = F.col("pending.path")
+    ended = materialize(ended.select("run_id", "seq", "pending", "closed_path", "obs"), "ended")
+    bare = ended.where("closed_path IS NULL").select("run_id", "seq", "pending.path", F.col("pending.seq").alias("since"))
+    now = F.col("pending.path")
+    if not bare.isEmpty():
+        ended = ended.join(moves.followed(bare, renames).withColumnRenamed("path", "_now"), ["run_id", "seq"], "left")
+        now = F.coalesce("_now", "pending.path")
     ended = ended.select("run_id", F.col("pending.process").alias("process"), F.coalesce("closed_path", now).alias("path"), content.alias("hash"), "seq")
     writes = ended.where("hash IS NOT NULL").select("run_id", "process", "hash").distinct()
     rows = ended.select("run_id", "path", F.col("process").alias("writer"), F.col("seq").alias("avail")).unionByName(moves.select("run_id", F.col("to_path").alias("path"), F.col("process").alias("writer"), F.col("seq").alias("avail")))
@@ -158,7 +160,7 @@ def canonicalize_slice(traced: DataFrame, roots: DataFrame, outputs: DataFrame)
     exits = last.groupBy("run_id").agg(F.max_by(F.struct("process", F.coalesce("exit_code", F.lit(0)).alias("exit_code")), "seq").alias("e")).select("run_id", "e.*")
     ops = sliced(f["flows"], f["reads"], f["writes"], f["renamed"], by_path, outputs, exits)
     others = ops.where("process IS NOT NULL AND op_type <> 'Exit'").select("run_id", "process").distinct().join(mine.select("run_id", F.col("root").alias("process")), ["run_id", "process"], "left_anti")
-    number = others.withColumn("process_index", F.row_number().over(Window.partitionBy("run_id").orderBy("process")).cast("long"))
+    number = numbered(others, ["run_id"], F.floor(F.col("process.pid") / 1024), ["process"], "process_index")
     number = number.unionByName(mine.select("run_id", F.col("root").alias("process"), F.lit(0).cast("long").alias("process_index")))
     ops = ops.join(number, ["run_id", "process"], "left").withColumn("process_index", F.coalesce("process_index", F.lit(schema.NO_PROCESS)))
     return finalize(ops)

@@ -87,12 +87,11 @@ def test_rewrite(spark):
 
 
 def test_resolve(spark):
-    args = lambda raw, **k: value(spark, paths.resolve(F.lit(raw), F.lit(k.get("dfd", -100)), F.lit(k.get("target")).cast("string"), F.lit(k.get("cwd")).cast("string"), F.lit(k.get("root")).cast("string")))
-    assert args("/abs", cwd="/w") == "/abs"
-    assert args("a/b", cwd="/w") == "/w/a/b"
-    assert args("a", root="/r") == "/r/a"
-    assert args("a", root="/r", dfd=5) == "a"
-    assert args("a", target="/real/a (deleted)", cwd="/w") == "/real/a"
+    args = lambda raw, **k: value(spark, paths.resolve(F.lit(raw), F.lit(k.get("target")).cast("string"), F.lit(k.get("base")).cast("string")))
+    assert args("/abs", base="/w") == "/abs"
+    assert args("a/b", base="/w") == "/w/a/b"
+    assert args("a") == "a"
+    assert args("a", target="/real/a (deleted)", base="/w") == "/real/a"
 
 
 def test_shell(spark):

@@ -162,15 +162,194 @@ def test_enrich(spark):
     df = spark.createDataFrame([tuple({"run_id": 0, **r}.get(c) for c in names) for r in raw], schema.RAW_EVENT)
     events, dropped = enrich.traced(df, None, spark.createDataFrame([(0, 1, "/home")], "run_id long, pid long, cwd string"), ["/w"])
     rows = events.orderBy("seq").collect()
-    assert [r.kind for r in rows] == ["Exec", "FileOpen", "FileClose", "FileRename", "FileRename"]
-    assert rows[1].path == rows[2].path == "/w/out" and rows[1].obs.hash == schema.EMPTY_CONTENT
-    assert [(r.from_path, r.to_path) for r in rows[3:]] == [("/a", "/b"), ("/b", "/a")]
+    assert [r.kind for r in rows] == ["FileOpen", "FileClose", "FileRename", "FileRename"]
+    assert rows[0].path == rows[1].path == "/w/out" and rows[0].obs.hash == schema.EMPTY_CONTENT
+    assert [(r.from_path, r.to_path) for r in rows[2:]] == [("/a", "/b"), ("/b", "/a")]
     assert dropped.first().dropped == 2
     with pytest.raises(RuntimeError):
         plans.check_drops(dropped)
     assert plans.check_drops(dropped, allowed=True) == 2 and enrich.exit_code(9) == 137 and enrich.exit_code(3 << 8) == 3
 
 
+def raw_frame(spark, *runs):
+    names = [f.name for f in spark.createDataFrame([], schema.RAW_EVENT).schema]
+    rows = [tuple({"run_id": r, "timestamp_ns": i, "source": 0, "tgid": e.get("pid"), **e}.get(c) for c in names) for r, events in enumerate(runs) for i, e in enumerate(events)]
+    return spark.createDataFrame(rows, schema.RAW_EVENT)
+
+
+def opened(pid, path, fd, flags=1, **k):
+    return {"kind": 1, "pid": pid, "path": path, "fd": fd, "flags": flags, "dfd": -100, **k}
+
+
+def closed(pid, fd, **k):
+    return {"kind": 2, "pid": pid, "fd": fd, **k}
+
+
+def mapped(pid, fd, **k):
+    return {"kind": 5, "pid": pid, "fd": fd, "prot": 1, "flags": 2, **k}
+
+
+def forked(pid, child):
+    return {"kind": 9, "pid": pid, "tgid": pid, "parent_pid": pid, "child_pid": child}
+
+
+def moved(pid, a, b, op, flags=0, **k):
+    return [{"kind": 6, "pid": pid, "path": a, "operation_id": op, "flags": flags, **k}, {"kind": 7, "pid": pid, "path": b, "operation_id": op, "flags": flags, **k}]
+
+
+def seen_of(spark, raw):
+    """Every event saw something of its own."""
+    return raw.selectExpr("run_id", "timestamp_ns", "pid", "kind", "named_struct('kind', 'content', 'hash', concat('h', timestamp_ns)) AS obs")
+
+
+def test_descriptor_paths(spark):
+    fork = [opened(1, "/w/o", 3), forked(1, 2), closed(2, 3)]
+    rename = [opened(1, "/w/a/f", 3), *moved(1, "/w/a", "/w/b", 1), closed(1, 3)]
+    read_only = [opened(1, "/w/r", 3, flags=0), mapped(1, 3), closed(1, 3)]
+    exchange = [opened(1, "/w/x/f", 3), opened(1, "/w/y", 4), *moved(1, "/w/x", "/w/y", 1, flags=2), closed(1, 3), closed(1, 4)]
+    twice = [opened(1, "/a", 3), *moved(1, "/a", "/b", 1), forked(1, 2), *moved(1, "/b", "/c", 2), closed(2, 3), *moved(1, "/c", "/a", 3), closed(1, 3)]
+    outside = [opened(9, "/else", 3, source=1), closed(9, 3, source=1), opened(9, "/w/s", 3, source=1), forked(9, 8), closed(8, 3, source=1)]
+    raw = raw_frame(spark, fork, rename, read_only, exchange, twice, outside)
+    events, _ = enrich.traced(raw, seen_of(spark, raw), None, ["/w"])
+    got = {}
+    for r in events.where("kind IN ('FileClose', 'FileMmap')").orderBy("run_id", "seq").collect():
+        got.setdefault(r.run_id, []).append((r.kind, r.path, r.obs and r.obs.hash))
+    assert got == {
+        0: [("FileClose", "/w/o", "h2")], 1: [("FileClose", "/w/b/f", "h3")], 2: [("FileMmap", "/w/r", "h0"), ("FileClose", "/w/r", None)],
+        3: [("FileClose", "/w/y/f", "h4"), ("FileClose", "/w/x", "h5")], 4: [("FileClose", "/c", "h6"), ("FileClose", "/a", "h9")], 5: [("FileClose", "/w/s", "h4")],
+    }
+    leaf = canonical.canonicalize(events.where("run_id = 0")).where("op_type = 'FileWrite'").first()
+    assert leaf.output_hashes == ["h2"]
+
+
+def test_inheritance_is_followed_to_its_end(spark):
+    """Forks 1>2>3>4>5; opened in 1, mapped in 3, closed in 5: the close belongs to the open."""
+    from ledgerloom.operators import descriptors
+
+    marks = [(0, "tree", 1, 0, 3, 0, 0, "open", 0), (0, "tree", 3, 0, 3, 3, 0, "map", 3), (0, "tree", 5, 0, 3, 6, 0, "close", None), (0, "tree", 2, 0, 4, 9, 0, "close", None)]
+    forks = [(0, s, p, 0, p + 1, 0) for s, p in ((1, 1), (2, 2), (4, 3), (5, 4))]
+    found = descriptors.match(spark.createDataFrame(marks, "run_id long, space string, pid long, generation int, fd int, seq long, rank int, action string, op long"), spark.createDataFrame(forks, "run_id long, seq long, pid long, generation int, child_pid long, child_generation int"))
+    assert {(r.pid, r.fd): r.pending for r in found.where("action = 'close'").collect()} == {(5, 3): 0, (2, 4): None}
+    assert found.where("action = 'map'").first().governs == 0
+
+
+def test_folders(spark):
+    root = spark.createDataFrame([(0, 1, "/home")], "run_id long, pid long, cwd string")
+    events = [
+        {"kind": 3, "pid": 1, "path": "/bin/make"}, opened(1, "a", 3), opened(1, "b", 4, cwd="/w"), opened(1, "c", 5), forked(1, 2), opened(2, "d", 3), opened(2, "e", 4, dfd=7), opened(2, "f", 5, dfd=7, cwd="/q"),
+        forked(2, 3), opened(2, "g", 6, cwd="/v"), opened(3, "h", 3), opened(1, "i", 6), *moved(3, "j", "k", 1, dfd=-100),
+    ]
+    events, _ = enrich.traced(raw_frame(spark, events), None, root)
+    rows = events.orderBy("seq").collect()
+    assert [r.path for r in rows if r.kind == "FileOpen"] == ["/home/a", "/w/b", "/w/c", "/w/d", "e", "/q/f", "/v/g", "/w/h", "/w/i"]
+    assert [(r.from_path, r.to_path) for r in rows if r.kind == "FileRename"] == [("/w/j", "/w/k")] and not [r for r in rows if r.kind == "Exec"]
+
+
+def test_source_filters(spark):
+    raw = raw_frame(spark, [opened(1, "/w/a", -2), mapped(1, -1), opened(1, "/w/a", 3), forked(1, 2), opened(2, "/w/b", 3), opened(7, "/w/c", 3), forked(7, 8), opened(9, "/w/d", 3, source=1), opened(9, "/x", 4, source=1), opened(9, "rel", 5, source=1, flags=0), opened(9, "rel", 6, source=1, flags=1)])
+    assert [(r.kind, r.path, r.fd) for r in enrich.admitted(raw, ["/w"]).orderBy("timestamp_ns").collect() if r.pid == 9] == [(1, "/w/d", 3), (1, "rel", 6)]
+    assert [r.fd for r in enrich.admitted(raw, ["/w"]).where("pid = 1 AND kind IN (1, 5)").collect()] == [3]
+    kept = enrich.tracked(raw, spark.createDataFrame([(0, 1)], "run_id long, pid long"))
+    assert {r.pid for r in kept.collect()} == {1, 2, 9}
+
+
+def raw_walk(events, watch):
+    """Paths and observations of closes and mappings by one pass with a table of descriptors."""
+    now, count, table, out, pending = {}, {}, {}, [], None
+    near = lambda p: p.startswith(watch + "/")
+
+    def current(pid):
+        if pid not in now:
+            start(pid)
+        return pid, now[pid]
+
+    def start(pid):
+        now[pid] = count.get(pid, 0)
+        count[pid] = now[pid] + 1
+
+    def under(path, a, b):
+        return b + path[len(a) :] if path == a or path.startswith(a + "/") else None
+
+    for i, e in enumerate(events):
+        kind, external = e["kind"], e.get("source") == 1
+        if kind == 9:
+            life = current(e["parent_pid"])
+            start(e["child_pid"])
+            child = (e["child_pid"], now[e["child_pid"]])
+            table.update({(child, fd): list(v) for (o, fd), v in list(table.items()) if o == life})
+        elif kind == 6:
+            current(e["pid"])
+            pending = e["path"]
+        elif kind == 7:
+            if external and not near(pending) and not near(e["path"]):
+                continue
+            for v in table.values():
+                v[0] = under(v[0], pending, e["path"]) or (e["flags"] & 2 and under(v[0], e["path"], pending)) or v[0]
+        else:
+            life = current(e["pid"])
+            if kind == 1:
+                if not external or near(e["path"]):
+                    table[life, e["fd"]] = [e["path"], e["flags"], f"h{i}"]
+            elif kind == 5:
+                v = table.get((life, e["fd"]))
+                if v or not external:
+                    out.append((i, *((v[0], v[2]) if v else (None, None))))
+            elif kind == 2:
+                v = table.pop((life, e["fd"]), None)
+                if v or not external:
+                    out.append((i, *((v[0], f"h{i}" if v[1] & 3 else None) if v else (None, None))))
+    return out
+
+
+def test_random_raw_traces(spark):
+    rng, runs = random.Random(11), []
+    for _ in range(60):
+        events, pids, op = [], [1], 0
+        while len(events) < 30:
+            pid, fd = rng.choice(pids), rng.randint(1, 3)
+            source = int(pid % 4 == 0)
+            folder = lambda: rng.choice(["/w/a", "/w/b", "/w/a/b", "/x"])
+            kind = rng.choice(["open", "open", "close", "close", "map", "fork", "move"])
+            if kind == "open":
+                events.append(opened(pid, folder() + "/f", fd, rng.randint(0, 2), source=source))
+            elif kind == "close":
+                events.append(closed(pid, fd, source=source))
+            elif kind == "map":
+                events.append(mapped(pid, fd, source=source))
+            elif kind == "fork":
+                child = rng.choice([p for p in range(1, 7) if p != pid])
+                pids = sorted({*pids, child})
+                events.append({**forked(pid, child), "source": source})
+            else:
+                op += 1
+                a, b = rng.sample(["/w/a", "/w/b", "/w/c", "/x"], 2)
+                events += moved(pid, a, b, op, rng.choice([0, 0, 2]), source=source)
+        runs.append(events)
+    raw = raw_frame(spark, *runs)
+    events, _ = enrich.traced(raw, seen_of(spark, raw), None, ["/w"])
+    numbers = {(r.run_id, r.seq): r.timestamp_ns for r in process.sequence(raw).collect()}
+    got = {}
+    for r in events.where("kind IN ('FileClose', 'FileMmap')").orderBy("run_id", "seq").collect():
+        got.setdefault(r.run_id, []).append((numbers[r.run_id, r.seq // 2], r.path, r.obs and r.obs.hash))
+    for i, events in enumerate(runs):
+        assert got.get(i, []) == raw_walk(events, "/w"), i
+
+
+def test_followed_in_chunks(spark, monkeypatch):
+    from ledgerloom.operators import moves
+
+    monkeypatch.setattr(moves, "CHUNK", 4)
+    rng = random.Random(3)
+    renames = [(0, 2 * i + 1, *rng.sample(["/a", "/b", "/c", "/a/d"], 2)) for i in range(60)]
+    rows = [(0, 2 * t, rng.choice(["/a/f", "/b", "/a/d/x", "/q"]), rng.randint(-1, 2 * t)) for t in range(60)]
+    got = {r.seq: r.path for r in moves.followed(spark.createDataFrame(rows, "run_id long, seq long, path string, since long"), spark.createDataFrame(renames, "run_id long, seq long, from_path string, to_path string")).collect()}
+    for _, seq, path, since in rows:
+        for _, s, a, b in renames:
+            if since < s < seq and (path == a or path.startswith(a + "/")):
+                path = b + path[len(a) :]
+        assert got[seq] == path
+
+
 def test_snapshots(spark, tmp_path):
     shot = lambda *rows: spark.createDataFrame([(0, "x", *r) for r in rows], schema.SNAPSHOT)
     before = shot(("keep", "File", "1", None), ("gone", "File", "2", None), ("link", "File", "3", "/x"))
