@@ -406,10 +406,43 @@ def test_repeated_rows_are_mixed_as_decided(spark):
 
 
 def test_balance(spark):
-    """The rates solve the dual: exp(x) times the size is the target."""
-    df = spark.createDataFrame([(10.0, 30.0), (10.0, 1e-4), (5.0, 5.0), (0.0, 0.0), (7.0, 2.0)], "s double, t double")
-    for r in df.withColumn("rate", mixing.solve(F.col("s"), F.col("t"), 3.0)).collect():
-        assert abs(r.rate * r.s - r.t) < 1e-9 * max(1, r.t)
+    """The rates of all documents solve the dual: min(cap, exp(x * size)) gives each source its target, as halving by brute force finds it."""
+    rng = random.Random(8)
+    sizes = {s: [int(rng.paretovariate(1.1)) * k for _ in range(200)] for s, k in (("a", 1), ("b", 3), ("c", 20), ("d", 1), ("e", 5), (None, 2))}
+    share = {"a": 0.01, "b": 0.5, "c": 1.0, "d": 2.9, "e": 3.0, None: 1.3}
+    rows = [(s, n) for s, ns in sizes.items() for n in [0, *ns]]
+    df = spark.createDataFrame(rows, "source string, size long").groupBy("source", "size").agg(F.count("*").alias("n"))
+    targets = spark.createDataFrame([(s, sum(sizes[s]), 201, share[s] * sum(sizes[s])) for s in sizes], "source string, source_size long, n_docs long, target double")
+    for r in mixing.solve(df, targets, 3.0).collect():
+        taken = lambda x, ns=sizes[r.source]: sum(n * min(3.0, np.exp(min(x * n, 2.0))) for n in ns)
+        assert abs(taken(r.multiplier) - r.target) <= 1e-8 * r.target, r
+        if np.isfinite(r.multiplier):
+            low, high = -50.0, 50.0
+            for _ in range(200):
+                low, high = ((low + high) / 2, high) if taken((low + high) / 2) < r.target else (low, (low + high) / 2)
+            assert abs(taken(low) - r.target) < 1e-6 * r.target and abs(low - r.multiplier) < 1e-6 * max(1e-3, abs(low))
+
+
+def test_repeats_are_counted_not_listed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_BLOCK", 7)
+    df = spark.createDataFrame([(n,) for n in (0, 1, 6, 7, 8, 50)], "t long")
+    got = defaultdict(list)
+    for r in mixing.repeated(df, F.col("t")).collect():
+        got[r.t].append(r["_nth"])
+    assert {t: sorted(x) for t, x in got.items()} == {n: list(range(n)) for n in (1, 6, 7, 8, 50)}
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_id", "_k", "_n", "_r", "_key", "_copies", "copies", "row", "id", "key", "n", "_nth", "_times", "_block", "_in", "a.b"]
+    df = spark.createDataFrame([(1, "a b c", "en", "s", 5, {"x": 1})] * 10 + [(2, "d e", "en", "s", 3, None)] * 3 + [(None, "f", "en", "t", 1, None)], DOCS + ", m map<string,int>")
+    df = df.withColumns({n: F.lit("own") for n in names})
+    out = mixing.repeat_rows(df)
+    rows = out.collect()
+    assert out.columns == df.columns and rows and all(r[n] == "own" for r in rows for n in names)
+    want = Counter()
+    for r in mixing.mixed(df).collect():
+        want[r.doc_id] += r.taken // max(1, r.size)
+    assert Counter(r.doc_id for r in rows) == +want
 
 
 # --- 8 --------------------------------------------------------------------------------------------
