@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table rotates unit vectors by three rounds of random signs and the fast
-Hadamard transform and assigns each to the nearest signed axis.  A query looks
-into the buckets of its nearest axes in every table; what it finds there is
-ranked by exact inner products.  Vectors of unequal length are hashed by
-direction in bands of similar length, each with buckets of its own, and a query
-looks into every band.
+Hadamard transform and assigns each to the nearest signed axis; several such
+hashes are strung together, the last of them over as few axes as make buckets
+of about ``fill`` rows, so buckets grow in number with the table, not in size.
+A query looks into the buckets that lie nearest to it by all hashes together,
+in every table; what it finds there is ranked by exact inner products.  How many
+buckets that takes is measured: for a bounded sample of queries the exact
+neighbours are found, and the least share of buckets is taken that holds the
+recall asked for.  This is the same at every size.
+
+Vectors of unequal length are hashed by direction in bands of similar length,
+each with buckets of its own, and a query looks into every band.
 """
 
 from __future__ import annotations
@@ -14,7 +20,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +29,8 @@ from .common import materialize, spread
 DATA_BLOCK, QUERY_BLOCK = 4096, 1024
 #: The longest vector of a level is at most so many times the shortest.
 LEVEL = 1.25
+#: Queries whose exact neighbours are found to measure how many buckets are needed.
+SAMPLE = 100
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -37,18 +44,57 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def axis_scores(x: np.ndarray, table: int, seed: int) -> np.ndarray:
-    """How near each row is to each of the 2d signed axes after the table's rotation."""
-    rng = np.random.default_rng([seed, table])
+def polytopes(rows: int, width: int, fill: int) -> list[int]:
+    """The axes (without signs) of each hash, so that ``rows`` have buckets of about ``fill``: all of them as often as it goes, then fewer."""
+    bits, most, out = max(0, round(math.log2(max(1, rows) / fill))), width.bit_length(), []
+    while bits > 0:
+        out.append(1 << (min(bits, most) - 1))
+        bits -= most
+    return out
+
+
+def axis_scores(x: np.ndarray, table: int, part: int, axes: int, seed: int) -> np.ndarray:
+    """How near each row is to each of the signed axes after a rotation of its own for every table and hash."""
+    rng = np.random.default_rng([seed, table, part])
     for signs in rng.choice([-1.0, 1.0], (3, x.shape[1])):
         x = hadamard(x * signs)
-    return np.concatenate([x, -x], axis=1)
+    return np.concatenate([x[:, :axes], -x[:, :axes]], axis=1)
+
+
+def bucket_of(x: np.ndarray, parts: list[int], table: int, seed: int) -> np.ndarray:
+    """The bucket of each row: its nearest signed axis of every hash."""
+    bucket = np.zeros(len(x), dtype=np.int64)
+    for i, axes in enumerate(parts):
+        bucket = bucket * (2 * axes) + axis_scores(x, table, i, axes, seed).argmax(axis=1)
+    return bucket
+
+
+def nearest_buckets(x: np.ndarray, parts: list[int], table: int, seed: int, n: int) -> np.ndarray:
+    """For each row the n nearest buckets, nearest first, by how much less each hash's axis is met than the best one.
+
+    The costs of the hashes add up, so the n best so far are all that the next hash needs.
+    """
+    cost, bucket = np.zeros((len(x), 1)), np.zeros((len(x), 1), dtype=np.int64)
+    for i, axes in enumerate(parts):
+        scores = axis_scores(x, table, i, axes, seed)
+        more = (scores.max(axis=1, keepdims=True) - scores) ** 2
+        costs, buckets = [], []
+        step = max(1, 2_000_000 // (cost.shape[1] * 2 * axes))
+        for at in range(0, len(x), step):
+            own = (cost[at : at + step, :, None] + more[at : at + step, None, :]).reshape(len(more[at : at + step]), -1)
+            code = (bucket[at : at + step, :, None] * (2 * axes) + np.arange(2 * axes)).reshape(len(own), -1)
+            best = np.argsort(own, axis=1, kind="stable")[:, :n]
+            costs.append(np.take_along_axis(own, best, 1))
+            buckets.append(np.take_along_axis(code, best, 1))
+        cost, bucket = np.concatenate(costs), np.concatenate(buckets)
+    return bucket
 
 
 def _valid(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = df.where(F.col(id_col).isNotNull() & F.forall(vector, number) & F.exists(vector, lambda x: x != 0))
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if df.schema[vector].dataType.elementType.typeName() == "float" else "array<double>"
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
 
 
 def _bands(levels: list[tuple[int, int]], least: int) -> tuple[list[int], list[int]]:
@@ -63,34 +109,38 @@ def _bands(levels: list[tuple[int, int]], least: int) -> tuple[list[int], list[i
     return first, rows
 
 
-def _best(k: int):
+def _best(k: int, kind: str):
     """The k nearest of a block for each query in it: chosen by a matrix product, scored by sums in fixed order."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, asked = pdf[~pdf["query"]].sort_values("id"), pdf[pdf["query"]]
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if data.empty or asked.empty:
-            return empty
-        x, q = (np.stack([np.frombuffer(b) for b in part["v"]]) for part in (data, asked))
-        ids, qids = data["id"].to_numpy(), asked["id"].to_numpy()
-        s = q @ x.T
-        s[qids[:, None] == ids[None, :]] = -np.inf
-        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
-        slack = 1e-12 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-        r, c = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
-        if not len(r):
-            return empty
-        score = (q[r] * x[c]).sum(axis=1)
-        order = np.lexsort((ids[c], -score, r))
-        r, c, score = r[order], c[order], score[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = rank < k
-        return pd.DataFrame({"query_id": qids[r[keep]], "vec_id": ids[c[keep]], "score": score[keep]})
+    def group(block: pa.Table) -> pa.Table:
+        query, ids = (block.column(c).to_numpy() for c in ("query", "id"))
+        raw = block.column("v").combine_chunks()
+        v = np.frombuffer(b"".join(raw.to_pylist()), dtype=kind).reshape(len(ids), -1).astype(np.float64)
+        at, asked = np.flatnonzero(~query), np.flatnonzero(query)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(at) and len(asked):
+            r, c, score = nearest_of(v[asked], ids[asked], v[at], ids[at], k)
+            found.append((ids[asked][r], ids[at][c], score))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
 
     return group
 
 
-def _ranked(rows: DataFrame, k: int) -> DataFrame:
+def nearest_of(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, number of the row, and score, of the k rows of largest product for each query, itself left out."""
+    s = q @ x.T
+    s[qids[:, None] == ids[None, :]] = -np.inf
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(axis=1)
+    slack = 1e-12 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+    r, c = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
+    score = (q[r] * x[c]).sum(axis=1)
+    order = np.lexsort((ids[c], -score, r))
+    r, c, score = r[order], c[order], score[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], c[keep], score[keep]
+
+
+def _ranked(rows: DataFrame, k: int, kind: str) -> DataFrame:
     """Rows of ``bucket``, ``query``, ``id``, ``v``: each bucket is a grid of blocks of bounded size, however full it is."""
     counts = rows.groupBy("bucket").agg(F.count_if(~F.col("query")).alias("_n"), F.count_if("query").alias("_q"))
     counts = counts.where((F.col("_n") > 0) & (F.col("_q") > 0)).select("bucket", F.ceil(F.col("_n") / DATA_BLOCK).alias("_n"), F.ceil(F.col("_q") / QUERY_BLOCK).alias("_q"))
@@ -98,69 +148,142 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("_q")).otherwise(F.col("_n")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("_n")).otherwise(F.col("_q")) - 1)))
     rows = rows.withColumns({"_x": F.when(F.col("query"), F.col("_other")).otherwise(mine), "_y": F.when(F.col("query"), mine).otherwise(F.col("_other"))})
-    found = rows.select("bucket", "_x", "_y", "query", "id", "v").groupBy("bucket", "_x", "_y").applyInPandas(_best(k), "query_id long, vec_id long, score double")
+    found = rows.select("bucket", "_x", "_y", "query", "id", "v").groupBy("bucket", "_x", "_y").applyInArrow(_best(k, kind), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes: int = 12, least: int = 8192, seed: int = 7, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    """Each row's numbers as bytes."""
+    size = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _rows(bucket: np.ndarray, query: bool, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(bucket), 8192):  # vectors take room
+        part = slice(at, at + 8192)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[part], pa.int64()), pa.array(np.full(len(bucket[part]), query)), pa.array(ids[part], pa.int64()), _bytes(x[part])], names=["bucket", "query", "id", "v"])
+
+
+class Index:
+    """Bands by length, the hashes of each, and where its buckets begin."""
+
+    def __init__(self, first: list[int], rows: list[int], width: int, tables: int, fill: int, seed: int):
+        self.first, self.width, self.seed = first, width, seed
+        self.parts = [polytopes(n, width, fill) for n in rows]
+        self.buckets = [math.prod(2 * axes for axes in p) for p in self.parts]
+        self.tables = [tables if p else 1 for p in self.parts]
+        self.begin = np.cumsum([0, *(t * b for t, b in zip(self.tables, self.buckets, strict=True))])
+
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        out = np.zeros((len(x), self.width))
+        out[:, : x.shape[1]] = x / np.abs(x).max(axis=1, keepdims=True)
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    def bands(self, levels: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, levels, side="right") - 1
+
+    def share(self, queries: np.ndarray, near: list[tuple[int, int, list[int]]], recall: float) -> float:
+        """The least share of buckets that holds ``recall`` of ``near``: a query's number, the band of a neighbour, its buckets in all tables."""
+        if not near:
+            return 0.0
+        best, n = np.full(len(near), np.inf), 64
+        q, band = (np.array([x[i] for x in near]) for i in (0, 1))
+        while True:
+            for b in np.unique(band[np.isinf(best)]):
+                mine = np.flatnonzero(np.isinf(best) & (band == b))
+                asked, which = np.unique(q[mine], return_inverse=True)
+                ranks = []
+                for t in range(self.tables[b]):
+                    order = nearest_buckets(queries[asked], self.parts[b], t, self.seed, n)
+                    hit = order[which] == np.array([near[i][2][t] for i in mine])[:, None]
+                    ranks.append(np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, np.inf))
+                best[mine] = np.min(ranks, axis=0) / self.buckets[b]
+            found = np.sort(best)[math.ceil(recall * len(best)) - 1]
+            if np.isfinite(found):
+                return float(found)
+            n *= 4
+
+
+def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, recall: float = 0.95, fill: int = 64, least: int = 8192, seed: int = 7, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k nearest found for each row whose id is divisible by ``every``.
 
     Vectors that are null, zero, or hold null or non-finite numbers take no
     part, nor do those of another length than most; rows that share an id are
     one candidate with its best score, and never their own neighbour.  Where
-    lengths (norms) are unequal, a band of at most ``least`` rows is compared
-    whole with every query, and a larger one is hashed like a table of its own.
-    A query that finds fewer than k is compared with all rows, in blocks.  An
-    empty table gives an empty result.  Recall on uniformly random directions,
-    the hardest case, is what ``tables`` and ``probes`` are set for.
+    lengths (norms) are unequal, neighbouring levels of length are one band
+    while they have at most ``least`` rows.  ``recall`` of the neighbours of
+    ``SAMPLE`` queries lie in the buckets that every query looks into; what
+    that takes follows from the vectors alone.  A query that finds fewer than
+    k is compared with all rows, in blocks.  An empty table gives an empty result.
     """
     valid = _valid(df, id_col, vector)
-    found = valid.agg(F.mode(F.size("v")).alias("d")).first()
-    d = found.d or 1
-    valid = valid.where(F.size("v") == d)
-    largest = F.array_max(F.transform("v", F.abs))
+    kind = "<f4" if "float" in valid.schema["v"].dataType.simpleString() else "<f8"
+    largest = F.array_max(F.transform("v", F.abs)).cast("double")
     norm = F.log(largest) + F.log(F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x)) / 2
-    most = valid.agg(F.max(norm).alias("most")).first().most or 0.0
-    valid = valid.withColumn("level", F.floor((F.lit(most) - norm) / math.log(LEVEL) + 1e-6).cast("long"))
-    first, sizes = _bands(sorted(map(tuple, valid.groupBy("level").count().collect())), least)
-    width = 1 << max(0, (d - 1).bit_length())
-    # A query looks into more buckets where those would hold fewer than ``least`` rows of all tables together.
-    looks = [min(2 * width, max(probes, -(-least * 2 * width // (tables * n)))) for n in sizes]
-    whole = np.array([len(sizes) > 1 and n <= least for n in sizes], dtype=bool)
+    sizes = valid.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("most")).orderBy(F.col("n").desc(), "d").first()
+    d, most = (sizes.d, sizes.most) if sizes else (1, 0.0)
+    valid = valid.where(F.size("v") == d).withColumn("level", F.floor((F.lit(most) - norm) / math.log(LEVEL) + 1e-6).cast("long"))
+    first, rows = _bands(sorted(map(tuple, valid.groupBy("level").count().collect())), least)
+    index = Index(first, rows, 1 << max(0, (d - 1).bit_length()), tables, fill, seed)
+
+    sample = valid.where(F.col("id") % every == 0).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    wanted, ids_of = np.array([r.v for r in sample], dtype=kind).reshape(-1, d), np.array([r.id for r in sample], dtype=np.int64)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k nearest of all rows of the task for each query of the sample, with their buckets."""
+        q, kept = wanted.astype(np.float64), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, ids, level = _matrix(part), part.column(0).to_numpy(), part.column(2).to_numpy()
+                r, c, score = nearest_of(q, ids_of, x.astype(np.float64), ids, k)
+                new = (r, score, ids[c], level[c], x[c])
+                kept = new if kept is None else tuple(np.concatenate(pair) for pair in zip(kept, new, strict=True))
+                order = np.lexsort((kept[2], -kept[1], kept[0]))
+                kept = tuple(y[order] for y in kept)
+                best = np.arange(len(order)) - np.searchsorted(kept[0], kept[0]) < k
+                kept = tuple(y[best] for y in kept)
+        if kept is not None and len(kept[0]):
+            band, unit = index.bands(kept[3]), index.unit(kept[4])
+            buckets = np.zeros((len(band), tables), dtype=np.int64)
+            for b in np.unique(band):
+                for t in range(index.tables[b]):
+                    buckets[band == b, t] = bucket_of(unit[band == b], index.parts[b], t, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1]), pa.array(kept[2]), pa.array(band), pa.array(buckets.tolist(), pa.list_(pa.int64()))], names=["q", "score", "id", "band", "buckets"])
+
+    if len(sample):
+        near = spread(valid).mapInArrow(exact, "q long, score double, id long, band long, buckets array<long>")
+        order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+        near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+        share = index.share(index.unit(wanted), [(r.q, r.band, r.buckets) for r in near.collect()], recall)
+    else:
+        share = 0.0
+    probes = [max(1, math.ceil(share * n - 1e-9)) for n in index.buckets]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = part.column(0).to_numpy()
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in part.column(1).to_pylist()])
-                raw = np.array([v.tobytes() for v in x], dtype=object)
-                band = np.searchsorted(first, part.column(2).to_numpy(), side="right") - 1
-                asked, dealt = np.flatnonzero(ids % every == 0), np.flatnonzero(~whole[band])
-                rest = np.flatnonzero(whole[band])
-                yield _rows(band[rest] * tables * 2 * width, np.zeros(len(rest), bool), ids[rest], raw[rest])
-                for b in np.flatnonzero(whole):
-                    yield _rows(np.full(len(asked), b * tables * 2 * width), np.ones(len(asked), bool), ids[asked], raw[asked])
-                if whole.all():
-                    continue
-                padded = np.zeros((len(x), width))
-                padded[:, :d] = x / np.abs(x).max(axis=1, keepdims=True)
-                for t in range(tables):
-                    scores = axis_scores(padded, t, seed)
-                    yield _rows((band[dealt] * tables + t) * 2 * width + scores[dealt].argmax(axis=1), np.zeros(len(dealt), bool), ids[dealt], raw[dealt])
-                    if len(asked):
-                        near = np.argsort(-scores[asked], axis=1, kind="stable")
-                        for b in np.flatnonzero(~whole):
-                            probe = near[:, : looks[b]]
-                            yield _rows(((b * tables + t) * 2 * width + probe).ravel(), np.ones(probe.size, bool), np.repeat(ids[asked], looks[b]), np.repeat(raw[asked], looks[b]))
-
-    def _rows(bucket: np.ndarray, query: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(query), pa.array(ids, pa.int64()), pa.array(raw.tolist(), pa.binary())], names=["bucket", "query", "id", "v"])
-
-    index = materialize(spread(valid).mapInArrow(hashed, "bucket long, query boolean, id long, v binary"), "tables")
-    best = materialize(_ranked(index, k), "neighbours")
+                ids, x = part.column(0).to_numpy(), _matrix(part)
+                band, unit, asked = index.bands(part.column(2).to_numpy()), index.unit(x), ids % every == 0
+                for b in range(len(index.parts)):
+                    mine = band == b
+                    for t in range(index.tables[b]):
+                        begin = index.begin[b] + t * index.buckets[b]
+                        yield from _rows(begin + bucket_of(unit[mine], index.parts[b], t, seed), False, ids[mine], x[mine])
+                        looks = begin + nearest_buckets(unit[asked], index.parts[b], t, seed, probes[b])
+                        n = looks.shape[1]
+                        yield from _rows(looks.ravel(), True, np.repeat(ids[asked], n), np.repeat(x[asked], n, axis=0))
+
+    table = materialize(spread(valid).mapInArrow(hashed, "bucket long, query boolean, id long, v binary"), "tables")
+    best = materialize(_ranked(table, k, kind), "neighbours")
     asked = valid.where(F.col("id") % every == 0).select("id").distinct()
     short = asked.join(best.groupBy(F.col("query_id").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) < k).select("id")
     short = materialize(short, "short")
@@ -169,9 +292,8 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.array([np.array(v, dtype=np.float64).tobytes() for v in batch.column(1).to_pylist()], dtype=object)
-            yield _rows(np.zeros(len(raw), np.int64), np.zeros(len(raw), bool), batch.column(0).to_numpy(), raw)
+            yield from _rows(np.zeros(batch.num_rows, np.int64), False, batch.column(0).to_numpy(), _matrix(batch))
 
-    rows = spread(valid).mapInArrow(together, "bucket long, query boolean, id long, v binary")
-    exact = _ranked(rows.unionByName(rows.join(short, "id", "left_semi").withColumn("query", F.lit(True)).select("bucket", "query", "id", "v")), k)
-    return best.join(short, best.query_id == short.id, "left_anti").unionByName(exact)
+    every_row = spread(valid).mapInArrow(together, "bucket long, query boolean, id long, v binary")
+    looked = every_row.join(short, "id", "left_semi").withColumn("query", F.lit(True)).select("bucket", "query", "id", "v")
+    return best.join(short, best.query_id == short.id, "left_anti").unionByName(_ranked(every_row.unionByName(looked), k, kind))

@@ -478,7 +478,7 @@ def test_neighbours(spark):
     x[100:140] = x[100]
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [None] * 24), (2004, [1.0]), (2005, [float("inf")] * 24)], "vec_id long, embedding array<double>")
     got = defaultdict(dict)
-    for r in neighbours.nearest(clashing(df.drop("id", "v")), least=1).collect():
+    for r in neighbours.nearest(clashing(df.drop("id", "v")), least=1, fill=8).collect():
         got[r.query_id][r["rank"]] = (r.vec_id, r.score)
     hits = 0
     for q in range(0, 900, 20):
@@ -493,7 +493,7 @@ def test_neighbours(spark):
     few = neighbours.nearest(df.where("vec_id < 5 OR vec_id = 3")).collect()
     assert sorted((r.query_id, r["rank"]) for r in few) == [(0, k) for k in range(1, 5)]
     # Where buckets give too few, all rows are looked through.
-    exact = neighbours.nearest(df, probes=1, tables=1, least=1).where("query_id = 20").orderBy("rank").collect()
+    exact = neighbours.nearest(df, recall=0.01, tables=1, least=1, fill=2).where("query_id = 20").orderBy("rank").collect()
     assert len(exact) == 20
 
 
@@ -514,6 +514,50 @@ def test_neighbours_of_unequal_length(spark, tmp_path, lengths):
     assert sum(len(got[200 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size >= 0.9
 
 
+def test_share_compared_falls_as_tables_grow(spark, monkeypatch):
+    """One setting for all sizes: recall as asked for on each, and fewer of the rows compared on larger ones."""
+    compared, asked = [], {}
+    whole = neighbours._ranked
+
+    def counted(rows, k, kind):
+        pairs = rows.groupBy("bucket").agg((F.count_if(~F.col("query")) * F.count_if("query")).alias("n")).agg(F.sum("n")).first()[0]
+        compared.append(pairs)
+        return whole(rows, k, kind)
+
+    monkeypatch.setattr(neighbours, "_ranked", counted)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 32))
+    shares = []
+    for n in (400, 3200, 12800):
+        x = centres[rng.integers(0, 40, n)] + 0.7 * rng.normal(size=(n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+        got = defaultdict(set)
+        for r in neighbours.nearest(df).collect():
+            got[r.query_id].add(r.vec_id)
+        s = x[::20] @ x.T
+        s[np.arange(len(s)), np.arange(0, n, 20)] = -np.inf
+        best = np.argsort(-s, axis=1)[:, :20]
+        asked[n] = sum(len(got[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size
+        shares.append(compared[-1] / (n * len(best)))
+    assert min(asked.values()) >= 0.9, asked
+    assert shares[0] > shares[1] > shares[2], shares
+
+
+def test_nearest_buckets_are_in_order():
+    x = np.random.default_rng(4).normal(size=(6, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for parts in ([], [4], [16, 2], [16, 16, 1]):
+        few, whole = (neighbours.nearest_buckets(x, parts, 3, 7, n) for n in (10, 10**6))
+        assert whole.shape[1] == int(np.prod([2 * p for p in parts])) and (few == whole[:, :10]).all() and (whole[:, 0] == neighbours.bucket_of(x, parts, 3, 7)).all()
+        cost = np.zeros((6, 1))
+        for i, p in enumerate(parts):
+            scores = neighbours.axis_scores(x, 3, i, p, 7)
+            cost = (cost[:, :, None] + ((scores.max(axis=1, keepdims=True) - scores) ** 2)[:, None, :]).reshape(6, -1)
+        assert (np.diff(np.take_along_axis(cost, whole, 1), axis=1) >= 0).all()
+    assert [neighbours.polytopes(n, 64, 64) for n in (0, 50, 500, 8192, 51282, 10**6)] == [[], [], [4], [64], [64, 4], [64, 64]]
+
+
 def test_rotation():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(neighbours.hadamard(neighbours.hadamard(x)), x) and np.allclose(np.linalg.norm(neighbours.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
