@@ -75,7 +75,7 @@ def nearest_buckets(x: np.ndarray, parts: list[int], table: int, seed: int, n: i
     The costs of the hashes add up, so the n best so far are all that the next hash needs.
     """
     cost, bucket = np.zeros((len(x), 1)), np.zeros((len(x), 1), dtype=np.int64)
-    for i, axes in enumerate(parts):
+    for i, axes in enumerate(parts if len(x) else []):
         scores = axis_scores(x, table, i, axes, seed)
         more = (scores.max(axis=1, keepdims=True) - scores) ** 2
         costs, buckets = [], []

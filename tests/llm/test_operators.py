@@ -555,6 +555,7 @@ def test_nearest_buckets_are_in_order():
             scores = neighbours.axis_scores(x, 3, i, p, 7)
             cost = (cost[:, :, None] + ((scores.max(axis=1, keepdims=True) - scores) ** 2)[:, None, :]).reshape(6, -1)
         assert (np.diff(np.take_along_axis(cost, whole, 1), axis=1) >= 0).all()
+        assert neighbours.nearest_buckets(x[:0], parts, 3, 7, 10).size == 0
     assert [neighbours.polytopes(n, 64, 64) for n in (0, 50, 500, 8192, 51282, 10**6)] == [[], [], [4], [64], [64, 4], [64, 64]]
 
 
