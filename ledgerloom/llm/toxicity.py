@@ -1,16 +1,19 @@
 """Toxicity: a learned lexicon, met through Levenshtein automata, and context windows.
 
 The lexicon holds words, and beginnings of words, that mark toxic texts.  A
-trie of its words is intersected with the Levenshtein automaton of distance
-one, made deterministic step by step as texts are read, so misspelled terms are
-found in time linear in the word.  The words around a hit tell quotation from
-abuse.  A logistic regression on what was found gives the score.
+trie of both is intersected with the Levenshtein automaton of distance one,
+made deterministic step by step as texts are read, so misspelled terms, and
+words with a misspelled beginning, are found in time linear in the word.  What
+stands in the window around a hit tells quotation from abuse.  A logistic
+regression on what was found gives the score; it is also shown toxic texts whose
+terms were misspelled, and toxic texts whose terms were put in quotation marks.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,14 +26,13 @@ from .common import as_bytes, held_out, labelled, materialize, process_cache, sp
 from .near_duplicates import shingles
 
 LABELLED = 16_000
-CANDIDATES, LEXICON, EXCEPTIONS = 40_000, 256, 5_000
+#: Lengths of beginnings that may become terms; least letters of a term whose misspellings count.
 SHORTEST, LONGEST = 3, 9
+SPELLED = 4
 AROUND = 5
-SPELLING = 0.85
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum()) + "“”„«»‘’…–—¡¿"
-_OPEN, _SHUT = "\"“„«‘", "\"”“»’"
-_REPORT = frozenset("said says wrote writes called quote quoted word term phrase reads".split())
-_TOLD = frozenset("you your you're youre u ur".split())
+#: Verbs that announce a quotation, right before it.
+REPORTING = frozenset("said says wrote writes called quote quoted word term phrase reads".split())
 _KNOWN = 300_000
 
 
@@ -49,22 +51,27 @@ def features_of_words(words: Iterable[str]) -> set[str]:
 
 
 class Automaton:
-    """All words within a distance of a trie's words: a deterministic automaton built as far as words lead."""
+    """All words within a distance of a trie's words, or of a beginning of the word (terms with a star): deterministic, built as far as words lead."""
 
-    def __init__(self, words: Iterable[str], distance: int = 1):
-        self.distance, self.next, self.word = distance, [{}], [None]
-        for w in sorted(words):
+    def __init__(self, terms: Iterable[str], distance: int = 1):
+        self.distance, self.next = distance, [{}]
+        self.word: list[str | None] = [None]
+        self.star: list[str | None] = [None]
+        for t in sorted(terms):
             node = 0
-            for c in w:
+            for c in t.removesuffix("*"):
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
                     self.next.append({})
                     self.word.append(None)
+                    self.star.append(None)
                 node = self.next[node][c]
-            self.word[node] = w
+            (self.star if t.endswith("*") else self.word)[node] = t
         self.states: dict[frozenset, int] = {}
         self.nodes: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        self.ends: list[list[tuple[int, str]]] = []
+        self.begins: list[list[tuple[int, str]]] = []
         self.start = self._state({0: 0})
 
     def _state(self, found: dict[int, int]) -> int:
@@ -82,6 +89,8 @@ class Automaton:
             self.states[key] = len(self.nodes)
             self.nodes.append(key)
             self.moves.append({})
+            self.ends.append(sorted((e, self.word[n]) for n, e in key if self.word[n] is not None))
+            self.begins.append(sorted((e, self.star[n]) for n, e in key if self.star[n] is not None))
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -99,21 +108,22 @@ class Automaton:
         self.moves[state][c] = to
         return to
 
-    def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest word of the trie, the first in order on ties, and its distance."""
-        state = self.start
-        for c in word:
+    def matches(self, word: str) -> list[tuple[int, str, str]]:
+        """Edits, term, and what stands for it: the word, or its beginning with a star, which is shorter than the word."""
+        state, out = self.start, []
+        for at, c in enumerate(word):
             to = self.moves[state].get(c)
+            if at:
+                out += [(e, t, word[:at] + "*") for e, t in self.begins[state]]
             state = self._move(state, c) if to is None else to
             if state < 0:
-                return None
-        found = [(e, self.word[n]) for n, e in self.nodes[state] if self.word[n] is not None]
-        return (min(found)[1], min(found)[0]) if found else None
+                return out
+        return out + [(e, t, word) for e, t in self.ends[state]]
 
 
 @dataclass
 class Model:
-    """Terms with weights (a star marks the beginning of a word), misspellings that are words of their own, and the regression."""
+    """Terms with weights (a star marks the beginning of a word), spellings that only resemble a term, and the regression."""
 
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: frozenset[str] = frozenset()
@@ -121,28 +131,32 @@ class Model:
     constant: float = -20.0
 
 
+#: What was found of a word: the term's weight, how it is misspelled (None if it isn't), and the bare word.
+Hit = tuple[float, str | None, str]
+
+
 class Reader:
-    """Finds a model's terms in texts; what it has learned of words lives as long as the Python worker, within a bound."""
+    """Finds terms in texts; what it has learned of words lives as long as the Python worker, within a bound."""
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.starts = {t[:-1]: w for t, w in model.terms.items() if t.endswith("*")}
+    def __init__(self, terms: dict[str, float], exceptions: frozenset[str] = frozenset()):
+        self.terms, self.exceptions = terms, exceptions
+        self.starts = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.lengths = sorted({len(s) for s in self.starts})
-        self.automaton = Automaton(t for t in model.terms if not t.endswith("*") and len(t) >= 5)
+        self.automaton = Automaton(t for t in terms if len(t.removesuffix("*")) >= SPELLED)
         self.known: set[str] = set()
-        self.hits: dict[str, tuple[float, bool, str]] = {}
+        self.hits: dict[str, Hit] = {}
 
-    def look(self, word: str) -> tuple[float, bool, str] | None:
-        """Weight, whether misspelled, and the bare word, of a word that is or resembles a term."""
-        w, terms = bare(word), self.model.terms
+    def look(self, word: str) -> Hit | None:
+        """What a word is found to be: a term, a word that begins with one, or the heaviest that it misspells."""
+        w = bare(word)
         best = max((weight for s in self.lengths if s < len(w) and (weight := self.starts.get(w[:s])) is not None), default=0.0)
-        best = max(best, terms.get(w, 0.0))
+        best = max(best, self.terms.get(w, 0.0))
         if best:
-            return best, False, w
-        near = self.automaton.match(w) if len(w) >= 4 else None
-        return (terms[near[0]], True, w) if near and w not in self.model.exceptions else None
+            return best, None, w
+        near = [(-self.terms[t], spelled) for e, t, spelled in self.automaton.matches(w) if e and spelled not in self.exceptions]
+        return (-min(near)[0], min(near)[1], w) if near else None
 
-    def found(self, words: list[str]) -> dict[str, tuple[float, bool, str]]:
+    def found(self, words: Iterable[str]) -> dict[str, Hit]:
         kinds = set(words)
         if len(self.known) > _KNOWN:
             self.known, self.hits = set(), {}
@@ -153,36 +167,55 @@ class Reader:
         return {w: self.hits[w] for w in kinds & self.hits.keys()}
 
     def numbers(self, text: str) -> list[float]:
+        """The features of a text: what is quoted counts apart from what is said, and misspelled terms apart from terms."""
         words = text.lower().split()
         hits = self.found(words)
         if not hits:
             return [0.0] * len(FEATURES)
-        # A misspelled term counts as the term, a little less; what the regression learns of misspellings corrects that.
-        meant, near, quoted, told, count = {}, {}, {}, 0, 0
+        said, near, quoted, count = {}, {}, {}, 0.0
         for i, w in enumerate(words):
             if w in hits:
-                weight, misspelled, plain = hits[w]
-                before, after = words[max(0, i - AROUND) : i], words[i + 1 : i + 1 + AROUND]
-                if is_quoted(before, w, after):
-                    quoted[plain] = weight
-                    continue
-                count += 1
-                told += not _TOLD.isdisjoint(map(bare, before + after))
-                meant[plain] = weight * (SPELLING if misspelled else 1)
-                if misspelled:
-                    near[plain] = weight
-        return [min(sum(meant.values()), 30) / 6, max(meant.values(), default=0.0), np.log1p(count), np.log1p(len(meant)), min(count / len(words), 0.2) * 10, min(sum(near.values()), 12) / 6, min(sum(quoted.values()), 12) / 6, np.log1p(told)]
+                weight, spelled, plain = hits[w]
+                cited = quotation(words[max(0, i - AROUND) : i], w, words[i + 1 : i + 1 + AROUND])
+                own = near if spelled else said
+                quoted[plain] = max(quoted.get(plain, 0.0), weight * cited)
+                own[plain] = max(own.get(plain, 0.0), weight * (1 - cited))
+                count += 0.0 if spelled else 1 - cited
+        kinds = sum(v > 0 for v in said.values())
+        return [float(v) for v in (np.log1p(sum(said.values())), max(said.values(), default=0.0), np.log1p(count), np.log1p(kinds), np.sqrt(count / len(words)), np.log1p(sum(near.values())), np.log1p(sum(quoted.values())))]
 
 
-FEATURES = ("sum", "most", "count", "kinds", "share", "misspelled", "quoted", "told")
+FEATURES = ("sum", "most", "count", "kinds", "share", "misspelled", "quoted")
 
 
-def is_quoted(before: list[str], word: str, after: list[str]) -> bool:
-    """Whether quotation marks stand around the word in its window, or a verb of reporting right before it."""
+def quotation(before: list[str], word: str, after: list[str]) -> float:
+    """How sure the window around a word makes it that it is quoted: 1 between quotation marks, a half for an open mark or a verb of reporting alone."""
     left, right = " ".join([*before, word[: len(word) - len(word.lstrip(_EDGE))]]), " ".join([word[len(word.rstrip(_EDGE)) :], *after])
     opened = left.count('"') % 2 == 1 or any(left.rfind(a) > max(left.rfind(b), -1) for a, b in ("“”", "„“", "«»"))
-    shut = any(c in right for c in '"”“»')
-    return (opened and shut) or not _REPORT.isdisjoint(map(bare, before[-2:]))
+    if opened and any(c in right for c in '"”“»'):
+        return 1.0
+    return 0.5 if opened or not REPORTING.isdisjoint(map(bare, before[-2:])) else 0.0
+
+
+def misspelled(word: str, plain: str) -> str:
+    """A word with one letter of its middle changed, left out or doubled, which of these by its hash."""
+    h = zlib.crc32(plain.encode())
+    at, how = 1 + h % max(1, len(plain) - 1), h // 64 % 3
+    at = min(at, len(plain) - 1)
+    other = plain[:at] + ("", plain[at] * 2, chr(97 + (ord(plain[at]) + h // 256 % 25) % 26))[how] + plain[at + 1 :]
+    return word.replace(plain, other, 1)
+
+
+def shown(text: str, y: int, hits: Callable[[Iterable[str]], dict[str, Hit]]) -> list[tuple[str, int]]:
+    """What the regression learns from a text: the text and, of toxic ones by their hash, a copy with misspelled terms (toxic), or with quoted ones (not)."""
+    out, which = [(text, y)], zlib.crc32(text.encode()) % 4
+    if y and which < 2:
+        words = text.lower().split()
+        found = {w: h for w, h in hits(words).items() if h[1] is None}
+        if found:
+            changed = [(misspelled(w, found[w][2]) if which == 0 else f'"{w}"') if w in found else w for w in words]
+            out.append((" ".join(changed), 1 - which))
+    return out
 
 
 def _counts(df: DataFrame, of) -> DataFrame:
@@ -223,10 +256,15 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     return materialize(marked.groupBy("least").agg(F.min(F.struct("text", "y")).alias("r")).select("r.*"), "distinct")
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = LABELLED) -> Model:
-    """Learn a lexicon and a regression from at most ``limit`` labelled rows that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = LABELLED, least_gain: float = 20.0) -> Model:
+    """Learn a lexicon and a regression from at most ``limit`` labelled rows that aren't held out; that bound is the only one.
 
-    Without labels of both kinds nothing is toxic (or, if all are, everything).
+    Terms are words and beginnings of words of toxic texts whose likelihood
+    ratio against the label is at least ``least_gain``.  Spellings that clean
+    texts have as well are exceptions.  For the regression each half of the
+    sample is read with the exceptions of the other, so that it meets chance
+    resemblances as new texts do.  Without labels of both kinds nothing is
+    toxic (or, if all are, everything).
     """
     sample = _without_copies(labelled(docs, labels, column, limit))
     sizes = {r["y"] > 0: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -235,8 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int =
         return Model(constant=20.0 if n_pos else -20.0)
     least = max(3, n_pos // 200)
     positive = _counts(sample.where("y > 0"), lambda text: features_of_words(text.lower().split()))
-    rows = positive.where(F.col("pos") >= least).orderBy(F.col("pos").desc(), "term").limit(CANDIDATES).collect()
-    pos = {r["term"]: r["pos"] for r in rows}
+    pos = {r["term"]: r["pos"] for r in positive.where(F.col("pos") >= least).collect()}
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(pos))
     negative = _counts(sample.where("y <= 0"), lambda text: features_of_words(text.lower().split()) & wanted.value)
     neg = {r["term"]: r["neg"] for r in negative.collect()}
@@ -247,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int =
     terms: dict[str, float] = {}
     # Of terms that tell as much the longest comes first; a beginning of words must add to the terms that it begins.
     for i in np.lexsort((names, [-len(t.rstrip("*")) for t in names], -gain)):
-        if gain[i] < 20 or len(terms) == LEXICON:
+        if gain[i] < least_gain:
             break
         t, w = names[i], float(min(odds[i], 7.0))
         plain = t.rstrip("*")
@@ -255,30 +292,52 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int =
         adds = not t.endswith("*") or all(pos[s] < 0.9 * pos[t] for s in terms if s.startswith(plain))
         if adds and not covered:
             terms[t] = w
-    model = Model(terms)
-    # Words that merely resemble a term, and that clean texts use as well.
-    similar = _counts(sample, lambda text, m=model: {h[2] for h in _reader(m).found(text.lower().split()).values() if h[1]})
-    resembling = similar.where(F.col("neg") > 0).orderBy(F.col("neg").desc(), "term").limit(EXCEPTIONS).collect()
-    model = Model(terms, frozenset(r["term"] for r in resembling if (r["pos"] + 0.5) / (n_pos + 1) < 8 * (r["neg"] + 0.5) / (n_neg + 1)))
-    found = with_numbers(sample, model, "y").toPandas().sort_values([*FEATURES, "y"])
-    w = learning.logistic(found[list(FEATURES)].to_numpy(), (found["y"].to_numpy() > 0).astype(float))
-    return Model(terms, model.exceptions, [float(v) for v in w[:-1]], float(w[-1]))
+    # Spellings that merely resemble a term, by halves of the sample.
+    half = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)) == 0
+    halves = [sample.where(half), sample.where(~half)]
+    spelled = lambda text, t=terms: {h[1] for h in _reader(t, frozenset()).found(text.lower().split()).values() if h[1]}
+    counts = [{r["term"]: (r["pos"], r["neg"]) for r in _counts(part, spelled).collect()} for part in halves]
+
+    def exceptions(*parts: dict[str, tuple[int, int]]) -> frozenset[str]:
+        every = {t: [sum(p.get(t, (0, 0))[k] for p in parts) for k in (0, 1)] for p in parts for t in p}
+        return frozenset(t for t, (a, b) in every.items() if b and (a + 0.5) / (n_pos + 1) < 8 * (b + 0.5) / (n_neg + 1))
+
+    found = []
+    for part, other in zip(halves, reversed(counts), strict=True):
+        model = Model(terms, exceptions(other))
+        found.append(with_numbers(_shown(part, terms), model, "y").toPandas())
+    x = np.concatenate([f[list(FEATURES)].to_numpy() for f in found])
+    y = np.concatenate([f["y"].to_numpy() > 0 for f in found]).astype(float)
+    order = np.lexsort((y, *x.T))
+    w = learning.logistic(x[order], y[order])
+    return Model(terms, exceptions(*counts), [float(v) for v in w[:-1]], float(w[-1]))
+
+
+def _shown(sample: DataFrame, terms: dict[str, float]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _reader(terms, frozenset())
+        for batch in batches:
+            rows = [r for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True) for r in shown(t, int(y > 0), reader.found)]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["text", "y"])
+
+    return materialize(sample.select("text", "y").mapInArrow(run, "text string, y int"), "shown")
 
 
-def _reader(model: Model) -> Reader:
+def _reader(terms: dict[str, float], exceptions: frozenset[str]) -> Reader:
     cache = process_cache("toxicity")
-    key = (tuple(sorted(model.terms.items())), model.exceptions)
+    key = (tuple(sorted(terms.items())), exceptions)
     if cache.get("key") != key:
-        cache.update(key=key, reader=Reader(model))
+        cache.update(key=key, reader=Reader(terms, exceptions))
     return cache["reader"]
 
 
 def with_numbers(df: DataFrame, model: Model, *kept: str) -> DataFrame:
     """``kept`` columns and what was found in ``text``; a null text is empty."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast is pickled by name, and workers need not have this package.
+    shared = df.sparkSession.sparkContext.broadcast((model.terms, model.exceptions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(shared.value)
+        reader = _reader(*shared.value)
         for batch in batches:
             values = np.array([reader.numbers(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.float64).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in values.T)], names=[*kept, *FEATURES])
