@@ -1,16 +1,20 @@
-"""Substring deduplication by shared blocks and windows, in place of a greedy relative Lempel-Ziv parse.
-
-Every document is compared with all documents of smaller id; no longest
-matches are parsed, and factors here are ranges without a source.  The index has
-blocks cut by content: of the 43 runs of eight words in each window of 50, the
-one of least hash (rightmost on ties) is its anchor, and a block is the words
-of all neighbouring windows with one anchor.  Equal windows have equal anchors,
-so only documents that share an anchor can share a window.
-
-A factor takes whole blocks as long as a smaller document has them; blocks at
-a factor's boundary, whose anchor is shared but whose words differ, are checked
-window by window.  Windows that a smaller document has are covered by factors
-of at least 50 words, and factors are the duplicate spans.
+"""Substring deduplication by relative Lempel-Ziv parsing.
+
+Every document is parsed against all documents of smaller id.  The reference
+has each block of words once, at its first place.  Blocks are cut by content:
+of the 43 runs of eight words in each window of 50, the one of least hash
+(rightmost on ties) is its anchor, and a block is the words of all neighbouring
+windows with one anchor.  Equal windows have equal anchors, so only documents
+that share an anchor can share a window, and no window lies across two blocks.
+
+The parse goes through a document from the left.  A factor begins at the first
+window that the reference has, and takes block after block, each of which has
+one place there, as long as the places follow on one another in the same source:
+as the reference has no block twice, that is the longest match.  Blocks at a
+factor's boundary, whose anchor is shared but whose words differ, are checked
+and followed window by window.  A factor says where its words stand in its
+source.  Factors have at least 50 words, and what they cover are the duplicate
+spans.
 """
 
 from __future__ import annotations
@@ -103,7 +107,7 @@ def _slices(texts: list[bytes | None], window: int) -> Iterator[tuple[np.ndarray
         yield flush()
 
 
-BLOCK = "doc_id long, t int, a long, c long, lo int, hi int"
+BLOCK = "doc_id long, t long, a long, c long, lo int, hi int"
 
 
 def _blocks(window: int):
@@ -141,42 +145,65 @@ def _windows(window: int):
                     h.append(own.hash(start[first:last] - base, start[first:last] - base + window).view(np.int64))
                     first = last
                 n = len(start)
-                ids = [pa.array([batch.column(c)[i].as_py()] * n, k) for c, k in (("doc_id", pa.int64()), ("t", pa.int32()))]
+                ids = [pa.array([batch.column(c)[i].as_py()] * n, k) for c, k in (("doc_id", pa.int64()), ("t", pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(anchor), pa.array(np.concatenate(h)), pa.array(start, pa.int32())], names=["doc_id", "t", "a", "w", "start"])
 
     return run
 
 
-def duplicate_ranges(texts: DataFrame, window: int) -> DataFrame:
-    """``doc_id``, ``t`` (a hash of the text), ``ranges``: word ranges [from, to) that start windows of smaller documents."""
-    blocks = lambda: spread(texts).where(F.col("doc_id").isNotNull()).mapInArrow(_blocks(window), BLOCK)
-    anchors = blocks().groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+def matches(texts: DataFrame, window: int) -> DataFrame:
+    """``doc_id``, ``t`` (a hash of the text), ``runs``: windows that smaller documents have, each run with the source and the place of its first window there.
+
+    Of several equal places within one source any may be named.
+    """
+    blocks = materialize(spread(texts).where(F.col("doc_id").isNotNull()).mapInArrow(_blocks(window), BLOCK), "blocks")
+    source = (F.min("doc_id").alias("d0"), F.min_by("lo", "doc_id").alias("p0"))
+    anchors = blocks.groupBy("a").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *source, F.max("doc_id").alias("d1"))
     # What is joined with is written first: both sides are then plain exchanges, and partitions of a very common anchor can be split.
-    anchors = materialize(anchors.where(F.col("d0") < F.col("d1")).select("a", (F.col("c0") == F.col("c1")).alias("one"), "d0"), "anchors")
-    shared = materialize(blocks().join(anchors, "a"), "blocks")
-    span = lambda df, lo, hi: df.select("doc_id", "t", F.col(lo).alias("from"), (F.col(hi) + window).alias("to"))
+    anchors = materialize(anchors.where(F.col("d0") < F.col("d1")).select("a", (F.col("c0") == F.col("c1")).alias("one"), "d0", "p0"), "anchors")
+    shared = materialize(blocks.join(anchors, "a"), "blocks")
+    run = lambda df, lo, hi: df.select("doc_id", "t", F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.col("d0").alias("source"), F.col("p0").alias("place")).alias("run"))
     interior = shared.where(F.col("one") & (F.col("doc_id") > F.col("d0")))
-    mixed = shared.where(~F.col("one")).drop("d0")
-    first = materialize(mixed.groupBy("a", "c").agg(F.min("doc_id").alias("d0")), "first")
+    mixed = shared.where(~F.col("one")).drop("d0", "p0")
+    first = materialize(mixed.groupBy("a", "c").agg(*source), "first")
     mixed = materialize(mixed.join(first, ["a", "c"]), "boundaries")
     # Of blocks with equal words the least document alone is looked into; the others have them from it.
     edge = mixed.where(F.col("doc_id") == F.col("d0")).groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi", "a")).alias("blocks"))
     edge = materialize(edge, "edges")
     wanted = IdBitmap(edge.select("doc_id")).keep(texts, "doc_id").dropDuplicates(["doc_id", "t"])
-    windows = materialize(wanted.join(edge, ["doc_id", "t"]).mapInArrow(_windows(window), "doc_id long, t int, a long, w long, start int"), "windows")
-    seen = materialize(windows.groupBy("a", "w").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where(F.col("d0") < F.col("d1")), "seen")
+    windows = materialize(wanted.join(edge, ["doc_id", "t"]).mapInArrow(_windows(window), "doc_id long, t long, a long, w long, start int"), "windows")
+    seen = windows.groupBy("a", "w").agg(F.min("doc_id").alias("d0"), F.min_by("start", "doc_id").alias("p0"), F.max("doc_id").alias("d1"))
+    seen = materialize(seen.where(F.col("d0") < F.col("d1")).drop("d1"), "seen")
     single = windows.join(seen, ["a", "w"]).where(F.col("doc_id") > F.col("d0"))
-    ranges = span(interior, "lo", "hi").union(span(mixed.where(F.col("doc_id") > F.col("d0")), "lo", "hi")).union(span(single, "start", "start"))
-    return ranges.groupBy("doc_id", "t").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    runs = run(interior, "lo", "hi").union(run(mixed.where(F.col("doc_id") > F.col("d0")), "lo", "hi")).union(run(single, "start", "start"))
+    return runs.groupBy("doc_id", "t").agg(F.collect_list("run").alias("runs"))
 
 
 _FIND = re.compile(WORD)
 
 
+Run = tuple[int, int, int, int]
+
+
+def parse(runs: list[Run], window: int) -> list[Run]:
+    """Factors (from, to, source, place; words [from, to) stand at ``place`` in ``source``) from runs of windows (first, last, source, place).
+
+    From left to right, a factor takes the next run as long as that follows on
+    the last, in the document and in the source.
+    """
+    out: list[Run] = []
+    for lo, hi, source, place in sorted(set(runs)):
+        if out and lo == out[-1][1] - window + 1 and source == out[-1][2] and place - lo == out[-1][3] - out[-1][0]:
+            out[-1] = (out[-1][0], hi + window, source, out[-1][3])
+        else:
+            out.append((lo, hi + window, source, place))
+    return out
+
+
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Factors: ranges that overlap or touch, put together."""
+    """Spans: ranges in order that overlap or touch, put together."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
+    for a, b in ranges:
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -184,27 +211,35 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-CLEANED = "spans array<struct<from:int,to:int>>, n_words long, n_removed long, cleaned string"
+CLEANED = "factors array<struct<from:int,to:int,source:bigint,place:int>>, spans array<struct<from:int,to:int>>, n_words long, n_removed long, cleaned string"
+
+
+def _cut(window: int):
+    span = [("from", pa.int32()), ("to", pa.int32())]
+    kinds = [pa.list_(pa.struct([*span, ("source", pa.int64()), ("place", pa.int32())])), pa.list_(pa.struct(span)), pa.int64(), pa.int64(), pa.string()]
 
+    def cut(text: str | None, runs: list[dict] | None) -> tuple:
+        if not runs:
+            return [], [], count_words(text or ""), 0, text
+        starts = [m.start() for m in _FIND.finditer(text)]
+        starts.append(len(text))
+        factors = parse([(r["lo"], r["hi"], r["source"], r["place"]) for r in runs], window)
+        spans, parts, done = merge([f[:2] for f in factors]), [], 0
+        for a, b in spans:
+            parts.append(text[done : starts[a]])
+            done = starts[b]
+        parts.append(text[done:])
+        named = [dict(zip(("from", "to", "source", "place"), f, strict=True)) for f in factors]
+        return named, [{"from": a, "to": b} for a, b in spans], len(starts) - 1, sum(b - a for a, b in spans), "".join(parts)
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])), pa.int64(), pa.int64(), pa.string()]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
-            for text, ranges in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
-                if not ranges:
-                    rows.append(([], count_words(text or ""), 0, text))
-                    continue
-                starts = [m.start() for m in _FIND.finditer(text)]
-                starts.append(len(text))
-                spans, parts, done = merge([(r["from"], r["to"]) for r in ranges]), [], 0
-                for a, b in spans:
-                    parts.append(text[done : starts[a]])
-                    done = starts[b]
-                parts.append(text[done:])
-                rows.append(([{"from": a, "to": b} for a, b in spans], len(starts) - 1, sum(b - a for a, b in spans), "".join(parts)))
-            yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["row", "spans", "n_words", "n_removed", "cleaned"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [cut(*x) for x in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["row", "factors", "spans", "n_words", "n_removed", "cleaned"])
+
+    return run
 
 
 #: White space to str.split() that belongs to words here.
@@ -216,23 +251,24 @@ def count_words(text: str) -> int:
 
 
 def remove_duplicates(docs: DataFrame, window: int = 50, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``carry``, ``spans`` (word ranges), ``n_words``, ``n_removed``, ``cleaned`` for every row.
+    """The columns in ``carry``, ``factors`` (word ranges, each with its source and place there), ``spans`` (what they cover), ``n_words``, ``n_removed``, ``cleaned`` for every row.
 
     A span goes from its first word to the next word that stays; all else of
     the text stays as it was.  Null and empty texts have no words and stay as
     they are; a null doc_id is neither smaller nor larger than any, so its
-    text stays; rows that share a doc_id don't take words from each other;
-    other columns are ignored; an empty table gives an empty result.
+    text stays; rows that share a doc_id don't take words from each other, and
+    a source with several texts may mean any of them; other columns are
+    ignored; an empty table gives an empty result.
     """
     row = F.struct(*(F.col(c) for c in carry)).alias("row")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("t"), F.col("text").cast("string").alias("text"), row)
-    ranges = materialize(duplicate_ranges(texts.select("doc_id", "t", "text"), window), "ranges")
-    bitmap = IdBitmap(ranges.select("doc_id"))
-    touched = bitmap.keep(texts, "doc_id").join(ranges, ["doc_id", "t"], "left").select("row", "text", "ranges")
-    alone = bitmap.keep(texts, "doc_id", others=True).select("row", "text", F.lit(None).cast(touched.schema["ranges"].dataType).alias("ranges"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"), row)
+    runs = materialize(matches(texts.select("doc_id", "t", "text"), window), "runs")
+    bitmap = IdBitmap(runs.select("doc_id"))
+    touched = bitmap.keep(texts, "doc_id").join(runs, ["doc_id", "t"], "left").select("row", "text", "runs")
+    alone = bitmap.keep(texts, "doc_id", others=True).select("row", "text", F.lit(None).cast(touched.schema["runs"].dataType).alias("runs"))
     schema = f"row {touched.schema['row'].dataType.simpleString()}, {CLEANED}"
-    found = touched.mapInArrow(_cut, schema).union(alone.mapInArrow(_cut, schema))
-    return found.select("row.*", "spans", "n_words", "n_removed", "cleaned")
+    found = touched.mapInArrow(_cut(window), schema).union(alone.mapInArrow(_cut(window), schema))
+    return found.select("row.*", "factors", "spans", "n_words", "n_removed", "cleaned")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -317,30 +317,115 @@ def edits(a, b):
 
 @pytest.mark.parametrize("distance", [0, 1, 2])
 def test_automaton(distance):
+    """Every term, and every beginning with a star, within the distance: as comparing each with each gives it."""
     rng = random.Random(distance)
-    terms = ["moron", "morons", "idiot", "stupid", "ab"]
+    terms = ["moron", "morons", "idiot", "stupid", "scum", "ab", "scu*", "grobl*", "mor*"]
     automaton = toxicity.Automaton(terms, distance)
-    for _ in range(3000):
-        w = list(rng.choice(terms))
+    for _ in range(2000):
+        w = list(rng.choice(terms).removesuffix("*") + rng.choice(["", "", "ik", "sch"]))
         for _ in range(rng.randint(0, 3)):
             at = rng.randrange(len(w) + 1)
             w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "o", "i"])
         w = "".join(w)
-        best = min((edits(w, t), t) for t in terms)
-        assert automaton.match(w) == ((best[1], best[0]) if best[0] <= distance else None)
+        want = [(edits(w, t), t, w) for t in terms if not t.endswith("*")]
+        want += [(edits(w[:k], t[:-1]), t, w[:k] + "*") for t in terms if t.endswith("*") for k in range(1, len(w))]
+        assert sorted(automaton.matches(w)) == sorted(x for x in want if x[0] <= distance)
 
 
 def test_misspelled_and_quoted():
-    model = toxicity.Model({"stupid": 5.0, "grobl*": 4.0}, frozenset({"stupix"}))
-    r = toxicity.Reader(model)
-    assert r.look("st0pid!") == (5.0, True, "st0pid") and r.look("stupix") is None and r.look("groblik") == (4.0, False, "groblik") and r.look("grobl") is None
-    plain, quoted = r.numbers("you are stupid now"), r.numbers('he said "you are stupid" to me')
+    r = toxicity.Reader({"stupid": 5.0, "grobl*": 4.0, "scum": 3.0, "abc*": 2.0}, frozenset({"stupix", "gropl*"}))
+    assert r.look("st0pid!") == (5.0, "st0pid", "st0pid") and r.look("stupix") is None and r.look("groblik") == (4.0, None, "groblik")
+    assert r.look("scvm") == (3.0, "scvm", "scvm") and r.look("(scum)") == (3.0, None, "scum")
+    assert r.look("gr0blik") == (4.0, "gr0bl*", "gr0blik") and r.look("groplik") is None and r.look("groblem") == (4.0, None, "groblem")
+    assert r.look("abcd") == (2.0, None, "abcd") and r.look("abxd") is None  # beginnings of three letters have too much about them
     at = toxicity.FEATURES.index
-    assert plain[at("sum")] > 0 and plain[at("quoted")] == 0 and plain[at("told")] > 0
-    assert quoted[at("sum")] == 0 and quoted[at("quoted")] > 0
+    plain, near, quoted, told = (r.numbers(x) for x in ("you are stupid now", "you are stvpid now", 'he said "you are stupid" to me', "they wrote stupid on it"))
+    assert plain[at("sum")] > 0 and plain[at("quoted")] == plain[at("misspelled")] == 0
+    assert near[at("sum")] == 0 and near[at("misspelled")] > 0
+    assert quoted[at("sum")] == 0 and quoted[at("quoted")] > 0 and 0 < told[at("sum")] < plain[at("sum")]
     assert r.numbers("") == r.numbers("nothing here") == [0.0] * len(toxicity.FEATURES)
 
 
+def looked(terms, exceptions, word):
+    """A word against each term in turn."""
+    w = word.strip(toxicity._EDGE)
+    exact = [v for t, v in terms.items() if (t.endswith("*") and len(w) > len(t) - 1 and w.startswith(t[:-1])) or w == t]
+    if exact:
+        return max(exact), False
+    near = []
+    for t, v in terms.items():
+        if len(t.removesuffix("*")) >= 4:
+            spelled = [(w[:k], w[:k] + "*") for k in range(1, len(w))] if t.endswith("*") else [(w, w)]
+            near += [v for part, name in spelled if name not in exceptions and edits(part, t.removesuffix("*")) == 1]
+    return (max(near), True) if near else None
+
+
+def plain_numbers(terms, exceptions, text):
+    words, said, near, quoted, count = (text or "").lower().split(), {}, {}, {}, 0
+    for i, w in enumerate(words):
+        if hit := looked(terms, exceptions, w):
+            cited, key, own = toxicity.quotation(words[max(0, i - 5) : i], w, words[i + 1 : i + 6]), w.strip(toxicity._EDGE), near if hit[1] else said
+            own[key] = max(own.get(key, 0), hit[0] * (1 - cited))
+            quoted[key] = max(quoted.get(key, 0), hit[0] * cited)
+            count += 0 if hit[1] else 1 - cited
+    kinds = sum(v > 0 for v in said.values())
+    return [np.log1p(sum(said.values())), max(said.values(), default=0), np.log1p(count), np.log1p(kinds), (count / max(1, len(words))) ** 0.5, np.log1p(sum(near.values())), np.log1p(sum(quoted.values()))]
+
+
+def test_toxicity_against_a_plain_reading(spark, learned):
+    """What texts are found to hold, and their scores, are those of a reader that compares every word with every term."""
+    docs, labels = learned
+    model = toxicity.fit(docs, labels)
+    at = toxicity.FEATURES.index
+    assert model.terms and model.weights[at("misspelled")] > 0.3 and any(t for t in model.terms if len(t) >= 5)
+    # In the sample no term was ever misspelled or quoted; the regression has seen copies that were.
+    term = max((t for t in model.terms if not t.endswith("*") and len(t) >= 5), key=model.terms.get)
+    odd = [(5000, "w1 w2 " + term[:2] + "q" + term[3:] + " w3 w4"), (5001, f'w1 w2 "{term}" w3'), (5002, f"w1 {term} w2"), (5003, None), (5004, "")]
+    some = docs.limit(120).unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in odd], DOCS))
+    scores = {}
+    for r in toxicity.with_numbers(some, model, "doc_id", "text").collect():
+        x = plain_numbers(model.terms, model.exceptions, r.text)
+        assert np.allclose([r[f] for f in toxicity.FEATURES], x)
+        scores[r.doc_id] = 1 / (1 + np.exp(-(model.constant + float(np.dot(model.weights, x)))))
+    got = {r.doc_id: r.score for r in toxicity.score(some, model, "doc_id").collect()}
+    assert all(abs(got[i] - scores[i]) < 1e-9 for i in scores if i is not None)
+    assert got[5000] >= 0.5 > got[5001] and got[5002] >= 0.5
+
+
+def test_workers_without_the_package(tmp_path):
+    """Executors need not be able to import this repository."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent.parent
+    script = tmp_path / "apart.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from ledgerloom.llm import queries, toxicity, quality, near_duplicates, substrings, packing, neighbours, mixing
+words = lambda i: " ".join(f"w{{(i * 7 + j) % 50}}" for j in range(60))
+docs = spark.createDataFrame([(i, words(i) + (" horrid horrid" if i % 3 == 0 else ""), "en", "s", 1) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
+labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+def absent(batches):
+    import importlib.util
+    for b in batches:
+        assert importlib.util.find_spec("ledgerloom") is None
+        yield b
+docs.mapInArrow(absent, docs.schema).count()
+assert toxicity.classified(docs, labels).count() == quality.classified(docs, labels).count() == near_duplicates.near_duplicates(docs).count() == substrings.digests(docs).count() == mixing.mixed(docs).count() == 90
+packing.pack(docs).count()
+v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(40)], "vec_id long, embedding array<float>")
+assert neighbours.nearest(v, k=3).count() == 6
+print("whole")
+""")
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600, check=False)
+    assert "whole" in done.stdout, done.stderr[-3000:]
+
+
 def test_rules():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))
@@ -605,6 +690,39 @@ def test_substrings(spark, docs, seed, monkeypatch):
     assert got == without_windows(data)
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_factors(spark, seed):
+    """Every factor stands in its source as said, none could go on there, and what a plain parse finds is covered by them exactly."""
+    data = mosaic(seed)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    split = {i: t.split() for i, t in data}
+    first = {}  # the first document and its places of every window
+    for i, ws in sorted(split.items()):
+        for s in range(len(ws) - 49):
+            first.setdefault(tuple(ws[s : s + 50]), (i, set()))
+    for i, ws in split.items():
+        for s in range(len(ws) - 49):
+            d, places = first[tuple(ws[s : s + 50])]
+            if d == i:
+                places.add(s)
+    for r in substrings.remove_duplicates(df).collect():
+        ws, covered = split[r.doc_id], set()
+        for f in r.factors:
+            a, b, source, place = f["from"], f["to"], f["source"], f["place"]
+            assert source < r.doc_id and b - a >= 50 and split[source][place : place + b - a] == ws[a:b]
+            covered.update(range(a, b - 49))
+        assert covered == {s for s in range(len(ws) - 49) if first[tuple(ws[s : s + 50])][0] < r.doc_id}
+        for f, g in zip(r.factors, r.factors[1:], strict=False):
+            assert f["from"] < g["from"] and not (g["from"] == f["to"] - 49 and f["source"] == g["source"] and g["place"] - f["place"] == g["from"] - f["from"])
+        assert [(s["from"], s["to"]) for s in r.spans] == substrings.merge([(f["from"], f["to"]) for f in r.factors])
+
+
+def test_parse_goes_on_in_the_source():
+    assert substrings.parse([(10, 14, 1, 100), (0, 9, 1, 90), (15, 15, 1, 7), (16, 16, 2, 8), (16, 16, 2, 8), (30, 31, 2, 22)], 50) == [(0, 64, 1, 90), (15, 65, 1, 7), (16, 66, 2, 8), (30, 81, 2, 22)]
+    # One long copy is one factor, however many blocks it has.
+    assert substrings.parse([(i, i, 5, i + 3) for i in range(200)], 50) == [(0, 249, 5, 3)]
+
+
 def test_substring_edges(spark, docs):
     assert substrings.digests(docs.limit(0)).collect() == []
     long = "  ".join(words(random.Random(1), 80))
@@ -613,6 +731,7 @@ def test_substring_edges(spark, docs):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (3, 0), (3, 0), (4, 80), (5, 0)]
     four = next(r for r in got if r.doc_id == 4)
     assert four.cleaned == "a\nb" and [(s["from"], s["to"]) for s in four.spans] == [(1, 81)]
+    assert [tuple(f) for f in four.factors] == [(1, 81, 3, 0)]
 
 
 # --- shared ---------------------------------------------------------------------------------------
