@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, near_duplicates, packing, substrings, toxicity
 from ledgerloom.llm.common import IdBitmap, materialize, read
 
 
+def _column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _numbered(docs: DataFrame, *but: str) -> tuple[list[Column], list[str]]:
+    """The columns under names that no table has, and these names."""
+    names = [f"_column_{i}" for i, c in enumerate(docs.columns) if c not in but]
+    return [_column(c).alias(f"_column_{i}") for i, c in enumerate(docs.columns) if c not in but], names
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5; a null text is kept."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    columns = docs.columns
-    renamed = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)), "text")
-    scored = toxicity.score(renamed, model, *(f"_{i}" for i in range(len(columns)))).where(F.col("score") < 0.5)
-    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(columns)))
+    columns, names = _numbered(docs)
+    scored = toxicity.score(docs.select(*columns, "text"), model, *names).where(F.col("score") < 0.5)
+    return scored.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near copies; rows that share a doc_id stay or go together."""
     gone = materialize(near_duplicates.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     bitmap = IdBitmap(gone)
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    keyed = docs.select(F.struct(*map(_column, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     # Only rows that the bitmap can't clear are joined.
-    rest = bitmap.keep(keyed, "_id").join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
-    return bitmap.keep(keyed, "_id", others=True).select(*docs.columns).union(rest.select(*docs.columns))
+    rest = bitmap.keep(keyed, "doc_id").join(gone, "doc_id", "left_anti")
+    return bitmap.keep(keyed, "doc_id", others=True).select("row.*").union(rest.select("row.*"))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 50 words that a document of smaller doc_id has."""
-    columns = docs.columns
-    renamed = docs.select("doc_id", "text", *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns) if c != "text"))
-    found = substrings.remove_duplicates(renamed, carry=tuple(f"_{i}" for i, c in enumerate(columns) if c != "text"))
+    columns, names = _numbered(docs, "text")
+    found = substrings.remove_duplicates(docs.select("doc_id", "text", *columns), carry=tuple(names))
     cut = F.col("n_removed") > 0
     new = {"text": F.col("cleaned")}
-    if "n_chars" in columns:
-        own = F.col(f"_{columns.index('n_chars')}")
+    if "n_chars" in docs.columns:
+        own = F.col(f"_column_{docs.columns.index('n_chars')}")
         new["n_chars"] = F.when(cut, F.length("cleaned")).otherwise(own).cast(docs.schema["n_chars"].dataType)
-    return found.select(*(new.get(c, F.col(f"_{i}")).alias(c) for i, c in enumerate(columns)))
+    return found.select(*(new.get(c, F.col(f"_column_{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
