@@ -3,10 +3,11 @@
 Writing: each page becomes a request, a response or revisit, and a metadata
 record, which name the response in WARC-Concurrent-To.  Spark's text sink
 writes them, with the blank lines that end a record as its line separator, to
-any store Spark can write to, as gzip files of a bounded number of captures.
+any store Spark can write to, as gzip files of bounded size.
 
-Reading: records are cut by Content-Length, never by what a payload holds, and
-put together again through WARC-Concurrent-To into one nested row per capture.
+Reading: files are unpacked piece by piece; records are cut by Content-Length,
+never by what a payload holds, and put together again through
+WARC-Concurrent-To, whichever record names which, into one nested row per capture.
 """
 
 from __future__ import annotations
@@ -17,15 +18,21 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import IdBitmap, materialize, scratch
+from .mixing import repeated
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-PER_FILE = 4000
+#: A file has at most so many captures and, but for a single larger one, so many bytes before it is packed.
+PER_FILE, FILE_BYTES = 4000, 1 << 28
+#: Bytes that a reader unpacks at once, and payload bytes of the records that it passes on together.
+_CHUNK, _TOGETHER = 1 << 20, 1 << 25
+#: Records that are a capture themselves.
+OWN = ("response", "revisit", "resource")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -51,17 +58,24 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     smallest page_id are responses, all others revisits that name it.  A null
     html is an empty payload, a null url an empty target; rows that repeat a
     page_id and a payload are captures of their own; a null page_id never
-    makes others revisits.
+    makes others revisits.  Ids and digests alone are exchanged to find equal
+    payloads; payloads that occur once are written where they are read.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    # Ids and digests alone decide; a payload with a third of all pages is reduced before any exchange.
-    light = rows.where(F.col("bytes") >= min_bytes).select("page_id", "digest")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("first"))
-    later = light.join(first, "digest").where(F.col("page_id") > F.col("first")).distinct()
-    later = later.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
-    rows = rows.join(later, (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    light = materialize(rows.groupBy("page_id", "digest", "bytes").agg(F.count("*").alias("n")), "digests")
+    longest = light.agg(F.max("bytes").alias("bytes")).first().bytes or 0
+    firsts = light.groupBy("digest").agg(F.sum("n").alias("_rows"), F.min("page_id").alias("first"))
+    firsts = materialize(firsts.where("_rows > 1").select(F.col("digest").alias("_d"), "first"), "repeated")
+    bitmap = IdBitmap(firsts)
+    alone = bitmap.keep(rows, "digest", others=True).withColumns({"first": F.lit(None).cast("long"), "nth": F.lit(1).cast("long")})
+    some = bitmap.keep(rows, "digest").join(firsts, F.col("digest") == F.col("_d"), "left").drop("_d")
+    # Rows that are wholly equal meet as one in each task before they are moved.
+    some = some.groupBy("page_id", "digest", "url").agg(F.first("html").alias("html"), F.first("bytes").alias("bytes"), F.first("first").alias("first"), F.count("*").alias("_n"))
+    some = repeated(some, F.col("_n"), "nth").withColumn("nth", F.col("nth") + 1).drop("_n")
+    several = (F.col("bytes") >= min_bytes) & (F.col("page_id") > F.col("first"))
+    rows = alone.unionByName(some).withColumn("first", F.when(several, F.col("first")))
+    per_file = max(1, min(PER_FILE, FILE_BYTES // (longest + 2048)))
     again = F.col("first").isNotNull()
 
     name = lambda page, nth, kind: F.concat(F.lit("<urn:capture:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(":"), nth.cast("string"), F.lit(f":{kind}>"))
@@ -82,82 +96,169 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     )
     end = CRLF + CRLF
     whole = F.concat(request, F.lit(end), F.when(again, revisit).otherwise(response), F.lit(end), metadata)
-    rows.select(whole.alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", PER_FILE).text(path, compression="gzip")
+    rows.select(whole.alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", per_file).text(path, compression="gzip")
 
 
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_bytes long, payload_digest string, intact boolean, fields map<string,string>, payload binary"
+RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, payload_bytes long, payload_digest string, intact boolean, fields map<string,string>, payload binary"
+_NAMES = ["record_id", "type", "concurrent_to", "refers_to", "target_uri", "payload_bytes", "payload_digest", "intact", "fields", "payload"]
+_KINDS = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.binary()]
 
 
-def _parsed(data: memoryview, with_payload: bool) -> Iterator[tuple]:
-    raw, at = bytes(data), 0
-    while at < len(raw):
-        head = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:head].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
+class Unpacked:
+    """The bytes of a file, plain or gzip of one or many members, unpacked as they are asked for."""
+
+    def __init__(self, data: bytes):
+        self.rest, self.member, self.have, self.at = memoryview(data), None, bytearray(), 0
+        self.gzip = data[:2] == b"\x1f\x8b"
+
+    def more(self) -> bool:
+        """Unpack a little more; false at the end of the file."""
+        while len(self.rest):
+            part = self.rest[:_CHUNK]
+            if not self.gzip:
+                self.rest = self.rest[_CHUNK:]
+                self.have += part
+                return True
+            self.member = self.member or zlib.decompressobj(31)
+            out = self.member.decompress(part, _CHUNK)
+            left = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            self.rest = self.rest[len(part) - len(left) :]
+            self.member = None if self.member.eof else self.member
+            if out:
+                self.have += out
+                return True
+        return False
+
+    def find(self, mark: bytes) -> int:
+        """Where the mark ends, from here; -1 if it doesn't come."""
+        start = 0
+        while (found := self.have.find(mark, start)) < 0:
+            start = max(0, len(self.have) - len(mark) + 1)
+            if not self.more():
+                return -1
+        return found + len(mark)
+
+    def take(self, n: int) -> bytes:
+        while len(self.have) < n and self.more():
+            pass
+        out = bytes(self.have[:n])
+        del self.have[:n]
+        self.at += len(out)
+        return out
+
+
+def _headers(raw: bytes, at: int) -> dict[str, list[str]]:
+    lines = raw.decode("utf-8", "replace").split(CRLF)
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record at byte {at}")
+    headers: dict[str, list[str]] = {}
+    last = None
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and last:  # a folded line
+            headers[last][-1] += " " + line.strip()
+        elif line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            headers.setdefault(last, []).append(value.strip())
+    return headers
+
+
+def payload_of(block: bytes, content_type: str) -> bytes:
+    """What a block holds behind its HTTP header; all of it where there is none, nothing where the header is all."""
+    if not (content_type.startswith("application/http") or block.startswith(b"HTTP/")):
+        return block
+    end = block.find(b"\r\n\r\n")
+    return block[end + 4 :] if end >= 0 else b"" if block.startswith(b"HTTP/") else block
+
+
+def parsed(data: bytes, with_payload: bool) -> Iterator[tuple]:
+    """The records of one file, one at a time."""
+    file = Unpacked(data)
+    while True:
+        while file.have[:1] in (b"\r", b"\n") or (not file.have and file.more()):  # what stands between records
+            file.take(1 if file.have[:1] in (b"\r", b"\n") else 0)
+        if not file.have:
+            return
+        at, end = file.at, file.find(b"\r\n\r\n")
+        if end < 0:
             raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start, length = head + 4, int(headers["content-length"])
-        block = raw[start : start + length]
+        headers = _headers(file.take(end)[:-4], at)
+        one = lambda name, h=headers: h.get(name, [None])[0]
+        length = int(one("content-length"))
+        block = file.take(length)
         if len(block) != length:
-            raise ValueError(f"a record of {length} bytes ends early at byte {start + len(block)}")
-        at = start + length + 4
-        kind, fields, payload, n, digest, intact = headers["warc-type"], None, None, None, None, True
-        if kind in ("response", "revisit"):
-            said = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
-            if kind == "response":
-                payload = block[block.index(b"\r\n\r\n") + 4 :]
-                n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                intact = said in (None, digest)
-            else:
-                digest = said
+            raise ValueError(f"a record of {length} bytes ends early at byte {file.at}")
+        kind, fields, payload, n, digest, intact = one("warc-type"), None, None, None, None, True
+        said = one("warc-payload-digest") or ""
+        said = said[5:] if said.lower().startswith("sha1:") else None
+        if kind in ("response", "resource"):
+            payload = payload_of(block, one("content-type") or "")
+            n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            intact = said in (None, digest)
+        elif kind == "revisit":
+            digest = said
         elif kind == "metadata":
-            fields = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode("utf-8").split(CRLF) if x)]
-        yield headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), n, digest, intact, fields, payload if with_payload else None
+            fields = list({k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(CRLF) if x)}.items())
+        yield one("warc-record-id"), kind, headers.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-target-uri"), n, digest, intact, fields, payload if with_payload else None
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records of the WARC files below ``path``; gzip files of one or many members, or plain ones."""
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.binary()]
-    names = ["record_id", "type", "concurrent_to", "refers_to", "target_uri", "payload_bytes", "payload_digest", "intact", "fields", "payload"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                data = value.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    out, rest = [], data
-                    while rest:
-                        one = zlib.decompressobj(31)
-                        out.append(one.decompress(rest))
-                        rest = one.unused_data
-                    data = b"".join(out)
-                records = list(_parsed(data, with_payload))
-                for at in range(0, len(records), 1024):
-                    columns = zip(*records[at : at + 1024], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        rows, size = [], 0
+        for files in batches:
+            for value in files.column(0):
+                for row in parsed(value.as_py(), with_payload):
+                    rows.append(row)
+                    size += len(row[-1] or b"")
+                    if len(rows) == 1024 or size > _TOGETHER:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where(~F.col("path").rlike(r"/[_.][^/]*$")).select("content").mapInArrow(parse, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: its record id, and its request, response (or revisit) and metadata records, null where there is none.
+    """One row per capture: its record id, and its request, response (or revisit, or resource) and metadata records, null where there is none.
 
-    A record belongs to the capture that its WARC-Concurrent-To names; a
-    response or revisit is the capture itself.  Of several requests or
-    metadata records of one capture that with the smallest id is taken; of
-    several responses of one id, too.  Records that name no capture are left out.
+    A record belongs to the captures that any of its WARC-Concurrent-To name,
+    to those that name it, and, where it names neither, to those of the record
+    that it names.  Of several requests or metadata records of one capture that
+    with the smallest id is taken; of several responses of one id, too.  Records
+    that lead to no capture are left out.
     """
-    own = F.col("type").isin("response", "revisit")
+    records = materialize(records, "records")
+    own = F.col("type").isin(*OWN)
     body = F.struct("record_id", "type", "refers_to", "target_uri", "payload_bytes", "payload_digest", "intact", "payload")
-    note = F.struct("record_id", F.map_entries("fields").alias("fields"))
-    df = records.withColumn("capture", F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to"))).where(F.col("capture").isNotNull())
-    df = df.groupBy("capture").agg(
-        F.min(F.when(F.col("type") == "request", F.struct("record_id", "target_uri"))).alias("request"),
-        F.min(F.when(own, body)).alias("response"),
-        F.min(F.when(F.col("type") == "metadata", note)).alias("metadata"),
-    )
-    return df.where(F.col("response").isNotNull())
+    asked = F.when(F.col("type") == "request", F.struct("record_id", "target_uri"))
+    note = F.when(F.col("type") == "metadata", F.struct("record_id", F.map_entries("fields").alias("fields")))
+    least = lambda df: df.groupBy("capture").agg(*(F.min(c).alias(c) for c in ("request", "response", "metadata")))
+    captures = records.where(own).select(F.col("record_id").alias("capture"), F.lit(None).cast("struct<record_id:string,target_uri:string>").alias("request"), body.alias("response"), F.lit(None).cast("struct<record_id:string,fields:array<struct<key:string,value:string>>>").alias("metadata"))
+    parts = records.where(F.col("type").isin("request", "metadata")).select("record_id", "concurrent_to", asked.alias("request"), note.alias("metadata"))
+    no_body = F.lit(None).cast(captures.schema["response"].dataType).alias("response")
+    rows = captures.unionByName(parts.select(F.explode("concurrent_to").alias("capture"), "request", no_body, "metadata"))
+    # Captures that name others: these get them as well.
+    naming = records.where(own).select(F.col("record_id").alias("capture"), F.explode("concurrent_to").alias("record_id"))
+    named = not naming.isEmpty()
+    if named:
+        rows = rows.unionByName(parts.join(naming, "record_id").select("capture", "request", no_body, "metadata"))
+    found = materialize(least(rows), "captures")
+    whole = found.where("response IS NOT NULL")
+    # What named a record that is no capture goes to the captures of that record.
+    astray = found.where("response IS NULL").select(F.col("capture").alias("record_id"), "request", "metadata")
+    if astray.isEmpty():
+        return whole
+    leads = parts.select("record_id", F.explode("concurrent_to").alias("capture"))
+    leads = leads.unionByName(naming.select("record_id", "capture")) if named else leads
+    led = astray.join(leads.join(whole.select("capture"), "capture", "left_semi").distinct(), "record_id")
+    return least(whole.unionByName(led.select("capture", "request", no_body, "metadata")))
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -165,7 +266,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path, min_bytes)
-    captures = assemble(read_records(spark, path, with_payload=False))
+    captures = assemble(read_records(spark, path, with_payload=False))  # digests and lengths are of the whole payloads
     page = lambda c: F.try_element_at(F.split(c, ":"), F.lit(3)).try_cast("long")
     noted = F.map_from_entries("metadata.fields")["payload-bytes"].try_cast("long")
     good = F.col("response.intact") & F.coalesce(F.col("response.payload_bytes") == noted, F.lit(True))

@@ -259,6 +259,44 @@ def test_archives(spark, tmp_path):
     assert capture.request.target_uri == "http://a/x%20y" and capture.metadata.record_id.endswith(":metadata>") and capture.response.intact
 
 
+def record(kind, key, block=b"", *concurrent, **headers):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {key}", *(f"WARC-Concurrent-To: {c}" for c in concurrent), *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+    return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path, monkeypatch):
+    """Several Concurrent-To in either direction, blocks without HTTP header, folded headers, files of many members, pieces smaller than a record."""
+    import gzip
+
+    monkeypatch.setattr(warc, "_CHUNK", 7)
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    parts = [
+        record("warcinfo", "<i>", b"software: x\r\n"),
+        record("request", "<q1>", b"GET / HTTP/1.1\r\n\r\n", "<other>", "<r1>", WARC_Target_URI="http://a/"), record("response", "<r1>", http + b"one", Content_Type="application/http; msgtype=response"), record("metadata", "<m1>", b"via: x\r\nhops: 2\r\n", "<q1>"),
+        record("response", "<r2>", http + b"two", "<q2>", "<m2>", Content_Type="application/http"), record("request", "<q2>", b"GET /2"), record("metadata", "<m2>", b"a: b"),
+        record("response", "<r3>", b"no header here", Content_Type="text/plain"), record("response", "<r4>", b"HTTP/1.1 304 Not Modified", Content_Type="application/http"), record("response", "<r5>", b"", Content_Type="application/http"),
+        record("resource", "<r6>", b"%PDF", Content_Type="application/pdf\r\n ; x=y"), record("metadata", "<m6>", b"z: 1", "<q6>"), record("request", "<q6>", b"GET", "<r6>"), record("metadata", "<lost>", b"z: 1", "<nowhere>"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts[:7])))
+    (tmp_path / "b.warc").write_bytes(b"".join(parts[7:]))
+    (tmp_path / "c.warc").write_bytes(b"")
+    records = warc.read_records(spark, f"file://{tmp_path}")
+    assert records.count() == len(parts) and all(r.intact for r in records.collect())
+    got = {r.capture: (r.response.payload and bytes(r.response.payload), r.request and r.request.record_id, r.metadata and r.metadata.record_id) for r in warc.assemble(records).collect()}
+    assert got == {"<r1>": (b"one", "<q1>", "<m1>"), "<r2>": (b"two", "<q2>", "<m2>"), "<r3>": (b"no header here", None, None), "<r4>": (b"", None, None), "<r5>": (b"", None, None), "<r6>": (b"%PDF", "<q6>", "<m6>")}
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    pages = spark.createDataFrame([(i, "u", f"{i} " + "x" * 1500) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    import gzip
+
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) >= 14 and max(sizes) <= 13_000
+    assert warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w")).count() == 40
+
+
 def test_damaged_archive(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 99\r\n\r\nshort")
     with pytest.raises(Exception, match="ends early"):
@@ -605,7 +643,7 @@ def test_share_compared_falls_as_tables_grow(spark, monkeypatch):
     whole = neighbours._ranked
 
     def counted(rows, k, kind):
-        pairs = rows.groupBy("bucket").agg((F.count_if(~F.col("query")) * F.count_if("query")).alias("n")).agg(F.sum("n")).first()[0]
+        pairs = rows.select("cell", F.explode("codes").alias("code"), "query").groupBy("cell", "code").agg((F.count_if(~F.col("query")) * F.count_if("query")).alias("n")).agg(F.sum("n")).first()[0]
         compared.append(pairs)
         return whole(rows, k, kind)
 
@@ -642,6 +680,7 @@ def test_nearest_buckets_are_in_order():
         assert (np.diff(np.take_along_axis(cost, whole, 1), axis=1) >= 0).all()
         assert neighbours.nearest_buckets(x[:0], parts, 3, 7, 10).size == 0
     assert [neighbours.polytopes(n, 64, 64) for n in (0, 50, 500, 8192, 51282, 10**6)] == [[], [], [4], [64], [64, 4], [64, 64]]
+    assert [neighbours.cells_of(n, p) for n, p in ((0, []), (500, [4]), (51282, [64, 4]), (10**6, [64, 64]), (2 * 10**7, [64, 64, 8]))] == [1, 1, 8, 128, 16]
 
 
 def test_rotation():

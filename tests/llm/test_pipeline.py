@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from conftest import same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import packing, queries
@@ -64,3 +65,18 @@ def test_stages_on_odd_rows(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).collect() == []
     assert packing.cut(1, 2048) == [1] and packing.cut(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
+
+
+NAMES = ["_id", "_k", "_n", "_r", "_key", "_copies", "_rows", "_sum", "_0", "_1", "_text", "row", "runs", "factors", "spans", "cleaned", "score", "component_id", "kept", "id", "key", "n", "copies", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("doc_id < 60")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0")).withColumns({n: F.concat(F.lit(n + ":"), F.col("doc_id").cast("string")) for n in NAMES})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in NAMES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
