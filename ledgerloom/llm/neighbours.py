@@ -31,6 +31,8 @@ DATA_BLOCK, QUERY_BLOCK = 4096, 1024
 LEVEL = 1.25
 #: Queries whose exact neighbours are found to measure how many buckets are needed.
 SAMPLE = 100
+#: Buckets that share their leading hashes are read together, as a cell; rows of a cell, where more than one hash names it.
+CELL = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -69,6 +71,16 @@ def bucket_of(x: np.ndarray, parts: list[int], table: int, seed: int) -> np.ndar
     return bucket
 
 
+def cells_of(rows: int, parts: list[int]) -> int:
+    """How many of the buckets' codes lie in one cell: the leading hashes, as many as leave cells of about ``CELL`` rows, name the cell."""
+    inner, cells = math.prod(2 * axes for axes in parts), 1
+    for i, axes in enumerate(parts):
+        if i and cells * 2 * axes * CELL > rows:
+            break
+        cells, inner = cells * 2 * axes, inner // (2 * axes)
+    return inner
+
+
 def nearest_buckets(x: np.ndarray, parts: list[int], table: int, seed: int, n: int) -> np.ndarray:
     """For each row the n nearest buckets, nearest first, by how much less each hash's axis is met than the best one.
 
@@ -110,18 +122,31 @@ def _bands(levels: list[tuple[int, int]], least: int) -> tuple[list[int], list[i
 
 
 def _best(k: int, kind: str):
-    """The k nearest of a block for each query in it: chosen by a matrix product, scored by sums in fixed order."""
+    """The k nearest of a block for each query in it, of the codes that the query looks at."""
 
     def group(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
         query, ids = (block.column(c).to_numpy() for c in ("query", "id"))
-        raw = block.column("v").combine_chunks()
-        v = np.frombuffer(b"".join(raw.to_pylist()), dtype=kind).reshape(len(ids), -1).astype(np.float64)
-        at, asked = np.flatnonzero(~query), np.flatnonzero(query)
+        codes = block.column("codes").chunk(0)
+        v = np.frombuffer(b"".join(block.column("v").to_pylist()), dtype=kind).reshape(len(ids), -1).astype(np.float64)
+        code, row = codes.flatten().to_numpy(), np.repeat(np.arange(len(ids)), codes.value_lengths().to_numpy())
+        order = np.lexsort((row, code))
+        code, row = code[order], row[order]
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(at) and len(asked):
-            r, c, score = nearest_of(v[asked], ids[asked], v[at], ids[at], k)
-            found.append((ids[asked][r], ids[at][c], score))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = row[a:b]
+            asked, at = mine[query[mine]], mine[~query[mine]]
+            if len(asked) and len(at):
+                r, c, score = nearest_of(v[asked], ids[asked], v[at], ids[at], k)
+                found.append((asked[r], at[c], score))
+        r, c, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(found) > 2:  # of several codes the k nearest are taken again
+            order = np.lexsort((ids[c], -score, r))
+            r, c, score = r[order], c[order], score[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c, score = r[keep], c[keep], score[keep]
+        return pa.table({"query_id": ids[r], "vec_id": ids[c], "score": score})
 
     return group
 
@@ -141,14 +166,14 @@ def nearest_of(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray,
 
 
 def _ranked(rows: DataFrame, k: int, kind: str) -> DataFrame:
-    """Rows of ``bucket``, ``query``, ``id``, ``v``: each bucket is a grid of blocks of bounded size, however full it is."""
-    counts = rows.groupBy("bucket").agg(F.count_if(~F.col("query")).alias("_n"), F.count_if("query").alias("_q"))
-    counts = counts.where((F.col("_n") > 0) & (F.col("_q") > 0)).select("bucket", F.ceil(F.col("_n") / DATA_BLOCK).alias("_n"), F.ceil(F.col("_q") / QUERY_BLOCK).alias("_q"))
-    rows = rows.join(counts, "bucket")
+    """Rows of ``cell``, ``query``, ``id``, ``codes``, ``v``: each cell is a grid of blocks of bounded size, however full it is."""
+    counts = rows.groupBy("cell").agg(F.count_if(~F.col("query")).alias("_n"), F.count_if("query").alias("_q"))
+    counts = counts.where((F.col("_n") > 0) & (F.col("_q") > 0)).select("cell", F.ceil(F.col("_n") / DATA_BLOCK).alias("_n"), F.ceil(F.col("_q") / QUERY_BLOCK).alias("_q"))
+    rows = rows.join(counts, "cell")
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("_q")).otherwise(F.col("_n")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("_n")).otherwise(F.col("_q")) - 1)))
     rows = rows.withColumns({"_x": F.when(F.col("query"), F.col("_other")).otherwise(mine), "_y": F.when(F.col("query"), mine).otherwise(F.col("_other"))})
-    found = rows.select("bucket", "_x", "_y", "query", "id", "v").groupBy("bucket", "_x", "_y").applyInArrow(_best(k, kind), "query_id long, vec_id long, score double")
+    found = rows.select("cell", "_x", "_y", "query", "id", "codes", "v").groupBy("cell", "_x", "_y").applyInArrow(_best(k, kind), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -164,10 +189,17 @@ def _bytes(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _rows(bucket: np.ndarray, query: bool, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(bucket), 8192):  # vectors take room
+ROWS = "cell long, query boolean, id long, codes array<int>, v binary"
+
+
+def _rows(cell: np.ndarray, query: bool, ids: np.ndarray, codes: pa.ListArray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(cell), 8192):  # vectors take room
         part = slice(at, at + 8192)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[part], pa.int64()), pa.array(np.full(len(bucket[part]), query)), pa.array(ids[part], pa.int64()), _bytes(x[part])], names=["bucket", "query", "id", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell[part], pa.int64()), pa.array(np.full(len(cell[part]), query)), pa.array(ids[part], pa.int64()), codes.slice(at, 8192), _bytes(x[part])], names=["cell", "query", "id", "codes", "v"])
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, pa.int32()))
 
 
 class Index:
@@ -178,7 +210,10 @@ class Index:
         self.parts = [polytopes(n, width, fill) for n in rows]
         self.buckets = [math.prod(2 * axes for axes in p) for p in self.parts]
         self.tables = [tables if p else 1 for p in self.parts]
-        self.begin = np.cumsum([0, *(t * b for t, b in zip(self.tables, self.buckets, strict=True))])
+        #: Codes in a cell, and where the cells of each band begin.
+        self.inner = [cells_of(n, p) for n, p in zip(rows, self.parts, strict=True)]
+        self.cells = [b // i for b, i in zip(self.buckets, self.inner, strict=True)]
+        self.begin = np.cumsum([0, *(t * c for t, c in zip(self.tables, self.cells, strict=True))])
 
     def unit(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -276,13 +311,20 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, recall
                 for b in range(len(index.parts)):
                     mine = band == b
                     for t in range(index.tables[b]):
-                        begin = index.begin[b] + t * index.buckets[b]
-                        yield from _rows(begin + bucket_of(unit[mine], index.parts[b], t, seed), False, ids[mine], x[mine])
-                        looks = begin + nearest_buckets(unit[asked], index.parts[b], t, seed, probes[b])
-                        n = looks.shape[1]
-                        yield from _rows(looks.ravel(), True, np.repeat(ids[asked], n), np.repeat(x[asked], n, axis=0))
-
-    table = materialize(spread(valid).mapInArrow(hashed, "bucket long, query boolean, id long, v binary"), "tables")
+                        begin, inner = index.begin[b] + t * index.cells[b], index.inner[b]
+                        bucket = bucket_of(unit[mine], index.parts[b], t, seed)
+                        yield from _rows(begin + bucket // inner, False, ids[mine], _lists(bucket % inner, np.arange(len(bucket))), x[mine])
+                        looks = np.sort(nearest_buckets(unit[asked], index.parts[b], t, seed, probes[b]), axis=1)
+                        if not looks.size:
+                            continue
+                        # One row for each cell that a query looks into.
+                        cell = looks // inner
+                        new = np.concatenate([np.ones((len(cell), 1), bool), cell[:, 1:] != cell[:, :-1]], axis=1)
+                        starts = np.flatnonzero(new.ravel())
+                        who = np.flatnonzero(asked)[starts // looks.shape[1]]
+                        yield from _rows(begin + cell.ravel()[starts], True, ids[who], _lists((looks % inner).ravel(), starts), x[who])
+
+    table = materialize(spread(valid).mapInArrow(hashed, ROWS), "tables")
     best = materialize(_ranked(table, k, kind), "neighbours")
     asked = valid.where(F.col("id") % every == 0).select("id").distinct()
     short = asked.join(best.groupBy(F.col("query_id").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) < k).select("id")
@@ -292,8 +334,9 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, recall
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _rows(np.zeros(batch.num_rows, np.int64), False, batch.column(0).to_numpy(), _matrix(batch))
+            n = batch.num_rows
+            yield from _rows(np.zeros(n, np.int64), False, batch.column(0).to_numpy(), _lists(np.zeros(n, np.int64), np.arange(n)), _matrix(batch))
 
-    every_row = spread(valid).mapInArrow(together, "bucket long, query boolean, id long, v binary")
-    looked = every_row.join(short, "id", "left_semi").withColumn("query", F.lit(True)).select("bucket", "query", "id", "v")
+    every_row = spread(valid).mapInArrow(together, ROWS)
+    looked = every_row.join(short, "id", "left_semi").withColumn("query", F.lit(True)).select("cell", "query", "id", "codes", "v")
     return best.join(short, best.query_id == short.id, "left_anti").unionByName(_ranked(every_row.unionByName(looked), k, kind))
