@@ -167,7 +167,10 @@ class Reader:
         return {w: self.hits[w] for w in kinds & self.hits.keys()}
 
     def numbers(self, text: str) -> list[float]:
-        """The features of a text: what is quoted counts apart from what is said, and misspelled terms apart from terms."""
+        """The features of a text: what is quoted counts apart from what is said, and misspelled terms apart from terms.
+
+        The longer a text, the more words resemble a term by chance, so misspelled terms count for every hundred words.
+        """
         words = text.lower().split()
         hits = self.found(words)
         if not hits:
@@ -182,7 +185,7 @@ class Reader:
                 own[plain] = max(own.get(plain, 0.0), weight * (1 - cited))
                 count += 0.0 if spelled else 1 - cited
         kinds = sum(v > 0 for v in said.values())
-        return [float(v) for v in (np.log1p(sum(said.values())), max(said.values(), default=0.0), np.log1p(count), np.log1p(kinds), np.sqrt(count / len(words)), np.log1p(sum(near.values())), np.log1p(sum(quoted.values())))]
+        return [float(v) for v in (np.sqrt(sum(said.values())), max(said.values(), default=0.0), np.log1p(count), np.log1p(kinds), np.sqrt(count / len(words)), np.log1p(100 * sum(near.values()) / len(words)), np.log1p(sum(quoted.values())))]
 
 
 FEATURES = ("sum", "most", "count", "kinds", "share", "misspelled", "quoted")
