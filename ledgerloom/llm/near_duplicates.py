@@ -30,6 +30,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 #: For the second pass: more minima, so that families of documents just below the limit are told apart by their bits.
 FINE = 1024
+#: Rows of a bucket that meet as many others in one task.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -192,16 +194,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> D
 def components(edges: DataFrame) -> DataFrame:
     """``id``, ``component`` (its least id) of every id in ``a``, ``b``: large and small stars in turn until nothing changes.
 
-    Every round ends in the shared folder; a hub of any degree is met by sums and joins on its id only.
+    Every round ends in the shared folder.  A hub of any degree is met by sums
+    and by joins on its id with a table that was written, so its edges can be
+    split over tasks.
     """
     edges = edges.select("a", "b").where(F.col("a") != F.col("b")).distinct()
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = materialize(large.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = materialize(small.where(F.col("a") != F.col("b")).distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -211,6 +215,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
+def in_blocks(rows: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
+    """Two sides of each ``key`` as a grid: rows where ``own`` holds, and all rows, dealt to blocks ``bx``, ``by`` of about ``BLOCK`` rows a side.
+
+    However full a bucket is, no task has more than one block of its pairs.
+    """
+    counts = rows.groupBy("key").agg(F.ceil(F.count_if(own) / BLOCK).alias("_nx"), F.ceil(F.count("*") / BLOCK).alias("_ny"))
+    counts = materialize(counts.where("_nx > 0"), "grid")
+    rows = rows.join(counts, "key")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = rows.where(own).withColumn("bx", dealt("_nx", 1)).withColumn("by", each("_ny"))
+    y = rows.withColumn("by", dealt("_ny", 2)).withColumn("bx", each("_nx"))
+    return x.drop("_nx", "_ny"), y.drop("_nx", "_ny")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row.
 
@@ -253,26 +272,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4) -> DataFr
     rows = buckets.join(label("doc_id", "own"), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
     rows = rows.join(label("least", "main"), "least", "left").withColumn("main", F.coalesce("main", "least"))
     rows = materialize(rows.select("key", "band", "doc_id", "own", "main"), "labelled")
-    mixed = rows.where(F.col("own") != F.col("main")).select("key").distinct()
+    outer = F.col("own") != F.col("main")
+    mixed = rows.where(outer).select("key").distinct()
     every = materialize(rows.join(mixed, "key", "left_semi"), "mixed")
     ids = every.select("doc_id").distinct()
     fine = IdBitmap(ids).keep(texts, "doc_id").join(ids, "doc_id").select("doc_id", "text").mapInArrow(_fine(size), "doc_id long, fine array<long>")
-    # 32 bits of each band's key, to tell the first band that two documents share: there alone they are compared.
-    firsts = reps.select("doc_id", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands"))
-    bits = materialize(signed.join(ids, "doc_id").join(fine, "doc_id").join(firsts, "doc_id"), "fine")
-    every = every.join(bits, "doc_id")
+    # With all keys of a document, the first band that two documents share can be told: there alone they are compared.
+    bits = materialize(reps.select("doc_id", "n_shingles", "bits", "bands").join(ids, "doc_id").join(fine, "doc_id"), "fine")
 
     def side(df: DataFrame, a: str) -> DataFrame:
-        main = F.col("own") == F.col("main")
-        return df.select("key", "band", F.col("doc_id").alias(a), F.col("own").alias(f"o{a}"), main.alias(f"m{a}"), F.col("n_shingles").alias(f"n{a}"), F.col("bits").alias(f"s{a}"), F.col("fine").alias(f"f{a}"), F.col("bands").alias(f"b{a}"))
+        df = df.join(bits, "doc_id")
+        return df.select("key", "bx", "by", "band", F.col("doc_id").alias(a), F.col("own").alias(f"o{a}"), (~outer).alias(f"m{a}"), F.col("n_shingles").alias(f"n{a}"), F.col("bits").alias(f"s{a}"), F.col("fine").alias(f"f{a}"), F.col("bands").alias(f"b{a}_"))
 
-    x, y = side(every.where(F.col("own") != F.col("main")), "x"), side(every, "y").drop("band")
-    common = F.when(F.col("bx")[0] == F.col("by")[0], 0)
+    x, y = (side(df, a) for df, a in zip(in_blocks(every, outer), "xy", strict=True))
+    y = y.drop("band")
+    common = F.when(F.col("bx_")[0] == F.col("by_")[0], 0)
     for i in range(1, BANDS):
-        common = common.when(F.col("bx")[i] == F.col("by")[i], i)
+        common = common.when(F.col("bx_")[i] == F.col("by_")[i], i)
     near = (F.col("ox") != F.col("oy")) & (F.col("my") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
     near = near & (common == F.col("band")) & (estimate("sx", "sy") >= floor) & (estimate("fx", "fy", FINE) >= percent / 100 - 0.06)
-    pairs = x.join(y, (x.key == y.key) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = x.join(y, (x.key == y.key) & (x.bx == y.bx) & (x.by == y.by) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.union(materialize(_confirmed(more, texts, percent, size), "links"))

@@ -38,7 +38,7 @@ def statistics(text: bytes) -> tuple[float, ...]:
     ends = sum(1 for w in words if w[-1:].isalnum() or w[-1] >= 128)
     return (
         float(n), solid / n, len(set(words)) / n, sum(map(eq, words, words[1:])) / n, kinds[2] / letters, kinds[3] / solid, kinds[9] / solid, kinds[5] / n, kinds[6] / n, kinds[7] / n,
-        kinds[8] / solid, float(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), ends / n, sum(1 for w in words if w[:1].isupper()) / n, float(min(1000, max(map(len, words)))),
+        kinds[8] / solid, float(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), ends / n, sum(1 for w in words if w[:1].isupper()) / n, float(max(map(len, words))),
     )
 
 

@@ -155,8 +155,10 @@ def family(seed=2):
     return [(i, t) for i, (_, t) in enumerate(out)]
 
 
-@pytest.mark.parametrize("which", ["corpus", "family"])
-def test_near_duplicates(spark, docs, which):
+@pytest.mark.parametrize("which", ["corpus", "family", "blocks"])
+def test_near_duplicates(spark, docs, which, monkeypatch):
+    if which == "blocks":  # every bucket is a grid of many blocks
+        monkeypatch.setattr(near_duplicates, "BLOCK", 2)
     data = [(i, t) for i, t, *_ in corpus()] if which == "corpus" else family()
     df = clashing(docs) if which == "corpus" else spark.createDataFrame(data, "doc_id long, text string")
     got = {r.doc_id: r for r in near_duplicates.near_duplicates(df).collect()}
@@ -407,7 +409,7 @@ def plain_numbers(terms, exceptions, text):
             quoted[key] = max(quoted.get(key, 0), hit[0] * cited)
             count += 0 if hit[1] else 1 - cited
     kinds = sum(v > 0 for v in said.values())
-    return [np.log1p(sum(said.values())), max(said.values(), default=0), np.log1p(count), np.log1p(kinds), (count / max(1, len(words))) ** 0.5, np.log1p(sum(near.values())), np.log1p(sum(quoted.values()))]
+    return [np.sqrt(sum(said.values())), max(said.values(), default=0), np.log1p(count), np.log1p(kinds), (count / max(1, len(words))) ** 0.5, np.log1p(100 * sum(near.values()) / max(1, len(words))), np.log1p(sum(quoted.values()))]
 
 
 def test_toxicity_against_a_plain_reading(spark, learned):
@@ -477,6 +479,47 @@ def test_rules():
     assert quality.statistics(b"") == quality.statistics(b" \n") == (0.0,) * len(quality.STATISTICS)
 
 
+def plain_statistics(text):
+    """The statistics by counting one character, word and line after another."""
+    b = (text or "").encode()
+    ws = [bytes(w) for w in re.findall(rb"[^ \t\n\x0b\x0c\r]+", b)]
+    if not ws:
+        return (0.0,) * len(quality.STATISTICS)
+    kind = Counter("space" if c in b" \t\n\x0b\x0c\r" else "lower" if 97 <= c <= 122 else "upper" if 65 <= c <= 90 else "digit" if 48 <= c <= 57 else "stop" if c in b".,;:'\"?" else "bang" if c == 33 else "bar" if c == 124 else "high" if c >= 128 else "other" for c in b)
+    n, solid, letters = len(ws), sum(v for k, v in kind.items() if k != "space"), kind["lower"] + kind["upper"]
+    lines = [x for x in b.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
+    alnum = lambda c: 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
+    return (
+        n, solid / n, len(set(ws)) / n, sum(ws[i] == ws[i + 1] for i in range(n - 1)) / n, kind["upper"] / max(1, letters), kind["digit"] / solid, kind["other"] / solid, kind["stop"] / n, kind["bang"] / n, kind["bar"] / n,
+        kind["high"] / solid, len(lines), 1 - len(set(lines)) / max(1, len(lines)), sum(alnum(w[-1]) or w[-1] >= 128 for w in ws) / n, sum(65 <= w[0] <= 90 for w in ws) / n, max(map(len, ws)),
+    )
+
+
+def test_statistics(spark, docs):
+    odd = spark.createDataFrame([(9000, "A b\nA b\n\n \nB! 12 | x;", "en", "s", 0), (9001, "x" * 5000 + " é", "en", "s", 0), (9002, "a a a a", "en", "s", 0), (9003, "\x0b\x0c \n", "en", "s", 0)], DOCS)
+    rows = quality.with_statistics(docs.unionByName(odd), "text", "doc_id", "text").collect()
+    assert len(rows) == docs.count() + 4
+    for r in rows:
+        assert np.allclose([r[s] for s in quality.STATISTICS], plain_statistics(r.text)), r.doc_id
+
+
+def test_rules_as_a_column_are_the_rules(spark, learned):
+    """What the column expression gives is what the rules give one by one, for every document, with the bound met exactly too."""
+    docs, labels = learned
+    rules = quality.fit(docs, labels)
+    assert rules.rules
+    rows = quality.with_statistics(docs, "text", "doc_id").withColumn("score", rules.expression()).collect()
+    f, _, bound = rules.rules[0][0][0]
+    edge = spark.createDataFrame([tuple(float(bound) if i == f else 0.0 for i in range(len(quality.STATISTICS)))], ", ".join(f"{s} double" for s in quality.STATISTICS)).withColumn("score", rules.expression()).collect()
+    for r in rows + edge:
+        x = [r[s] for s in quality.STATISTICS]
+        z = rules.constant + sum(w for path, w in rules.rules if all(x[i] <= b if op == "<=" else x[i] > b for i, op, b in path))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-12
+    scores = {r.doc_id: r.score for r in rows}
+    for r in quality.classified(docs, labels).collect():
+        assert abs(r.score - scores[r.doc_id]) < 1e-12 and r.predicted == int(r.score >= 0.3)
+
+
 # --- 6 --------------------------------------------------------------------------------------------
 
 
