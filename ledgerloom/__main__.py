@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dsse, plans, schema, sources
+from . import tables as tables_
 from .operators import attest
 from .plans.paths import metadata_path
 
@@ -51,12 +52,30 @@ def trace(args: argparse.Namespace) -> int:
     )
     if args.dump_ops:
         sources.write_ops(ops, args.dump_ops)
-    Path(args.output).mkdir(parents=True, exist_ok=True)
-    for run in [r.run_id for r in docs.select("run_id").toLocalIterator()]:
-        sources.write_attestation(docs.where(F.col("run_id") == run), f"{args.output}/{run}.json")
+    sources.write_attestations(docs, args.output)
+    tables_.clear(spark)
     return 0
 
 
+def verify_trace(args: argparse.Namespace) -> int:
+    """Trace recorded tables below INPUT anew and compare with the documents below EXPECTED, one file a run."""
+    spark = _session()
+    tables = {t: spark.read.parquet(f"{args.input}/{t}") for t in ("events", "observations", "roots", "before", "after")}
+    expected = sources.read_attestations(spark, f"{args.expected}/*.json")
+    expected = expected.withColumn("run_id", F.regexp_extract("source", r"([0-9]+)\.json$", 1).cast("long"))
+    wanted = None
+    if args.artifact:
+        wanted = tables["roots"].select("run_id").withColumn("path", F.explode(F.array(*map(F.lit, [metadata_path(a, args.workspace) for a in args.artifact]))))
+    verdicts, _ = plans.verify_trace(
+        expected, tables["events"], tables["observations"], tables["roots"], tables["before"], tables["after"], args.command, args.watch, [metadata_path(p, args.workspace) for p in args.output_root], wanted, args.root
+    )
+    failed = 0
+    for row in verdicts.orderBy("run_id").toLocalIterator():
+        print(f"{row.run_id}: {row.verdict or 'verified'}")
+        failed += row.verdict is not None
+    return int(bool(failed))
+
+
 def verify(args: argparse.Namespace) -> int:
     spark = _session()
     expected, actual = _document(spark, args.expected), _document(spark, args.actual)
@@ -84,14 +103,12 @@ def diff(args: argparse.Namespace) -> int:
 def stability(args: argparse.Namespace) -> int:
     spark = _session()
     docs = None
-    for path in args.documents:
-        one = _document(spark, path).withColumn("source", F.lit(path))
+    for i, path in enumerate(args.documents):
+        again = args.documents[:i].count(path)
+        one = _document(spark, path).withColumn("source", F.lit(f"{path} ({again + 1})" if again else path))
         docs = one if docs is None else docs.unionByName(one)
     rows, summary = plans.stability(docs, args.documents[0])
-    if args.json:
-        print(json.dumps(summary.first().asDict() | {"baseline": args.documents[0], "runs": [r.asDict() for r in rows.orderBy("path").toLocalIterator()]}, indent=2))
-    else:
-        print(plans.report(rows, summary))
+    print(plans.report_json(rows, summary, args.documents[0]) if args.json else plans.report(rows, summary))
     return int(args.strict and not plans.is_stable(summary))
 
 
@@ -100,7 +117,7 @@ def harness(args: argparse.Namespace) -> int:
     spark = _session()
     roots = spark.read.parquet(f"{args.input}/roots")
     rows, summary = plans.harness(spark.read.schema(schema.TRACED_EVENT).parquet(f"{args.input}/traced"), roots, args.command, roots.count(), watch=args.watch)
-    print(plans.report(rows, summary))
+    print(plans.report_json(rows, summary) if args.json else plans.report(rows, summary))
     return int(args.strict and not plans.is_stable(summary))
 
 
@@ -141,18 +158,23 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument(name)
         return p
 
-    for f in (trace, harness):
+    for f in (trace, verify_trace, harness):
         p = command(f, "input")
         p.add_argument("--watch", action="append", default=[])
-        if f is trace:
-            p.add_argument("--output", required=True)
+        if f is not harness:
             p.add_argument("--output-root", action="append", default=[])
             p.add_argument("--artifact", action="append", default=[])
             p.add_argument("--workspace", default="/")
+        if f is trace:
+            p.add_argument("--output", required=True)
             p.add_argument("--dump-ops")
             p.add_argument("--allow-drops", action="store_true")
+        elif f is verify_trace:
+            p.add_argument("--expected", required=True)
+            p.add_argument("--root")
         else:
             p.add_argument("--strict", action="store_true")
+            p.add_argument("--json", action="store_true")
         p.add_argument("command", nargs="+")
     command(verify, "expected", "actual").add_argument("--root")
     command(explain, "document")

@@ -350,9 +350,9 @@ runs AS (
 
 def _stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = materialize(_ops(spark, sf_dir), "ops")
-    roots = merkle.roots(ops)
-    first = roots.where("run_id = 0").select(F.col("root").alias("_r"))
-    match = roots.join(F.broadcast(first)).select("run_id", (F.col("root") == F.col("_r")).alias("root_match"), (F.col("root") == F.col("_r")).alias("process_root_match"))
+    roots = materialize(merkle.roots(ops), "roots")
+    same = F.col("root") == roots.where("run_id = 0").select("root").scalar()
+    match = roots.select("run_id", same.alias("root_match"), same.alias("process_root_match"))
     return merkle.stability(ops, ops.where("run_id = 0"), match)
 
 

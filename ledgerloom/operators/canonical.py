@@ -144,3 +144,13 @@ def op_summary(ops: DataFrame) -> DataFrame:
     """Counts by run and type, with distinct tools and file operations without one."""
     file_op = F.col("op_type").isin("FileRead", "FileWrite")
     return ops.groupBy("run_id", "op_type").agg(F.count("*").alias("ops"), F.count_distinct("tool_hash").alias("tools"), F.count_if(file_op & F.col("tool_hash").isNull()).alias("without_tool"))
+
+
+def trace_summary(ops: DataFrame) -> DataFrame:
+    """A run's operations in one row: how many, written files, exits, distinct tools, file operations without a tool, and outputs that nobody was found to have written."""
+    kind = F.col("op_type")
+    orphan = (kind == "FileWrite") & (F.col("process_index") == schema.NO_PROCESS) & F.array_contains("args", "output")
+    return ops.groupBy("run_id").agg(
+        F.count("*").alias("ops"), F.count_if(kind == "FileWrite").alias("writes"), F.count_if(kind == "Exit").alias("exits"), F.count_distinct("tool_hash").alias("tools"),
+        F.count_if(kind.isin("FileRead", "FileWrite") & F.col("tool_hash").isNull()).alias("without_tool"), F.count_if(orphan).alias("orphans"),
+    )

@@ -186,3 +186,26 @@ def with_root_exec(events: DataFrame, roots: DataFrame) -> DataFrame:
 def exit_code(status: int) -> int:
     """A wait status as a code: the exit code, or 128 and the signal's number."""
     return 128 + (status & 0x7F) if status & 0x7F else status >> 8 & 0xFF
+
+
+def wait_code(status: Column) -> Column:
+    """``exit_code`` of a column."""
+    signal = status.bitwiseAND(F.lit(0x7F))
+    return F.when(signal != 0, signal + 128).otherwise(F.shiftright(status, 8).bitwiseAND(F.lit(0xFF))).cast("int")
+
+
+def with_root_exit(events: DataFrame, roots: DataFrame) -> DataFrame:
+    """Give the root's last exit the code of its wait status (``roots``: run_id, root, status); a run without such an exit gets one at its end.
+
+    What the kernel says of exits has no code.  Runs without a status stay as they are.
+    """
+    known = roots.where(F.col("status").isNotNull()).select("run_id", F.col("root.pid").alias("_pid"), wait_code(F.col("status")).alias("_code"), F.col("root").alias("_root"))
+    own = (F.col("kind") == "Exit") & (F.col("process.pid") == F.col("_pid"))
+    spans = events.join(known, "run_id").groupBy("run_id").agg(F.max("seq").alias("_end"), F.max(F.when(own, F.col("seq"))).alias("_exit"), F.max(F.when(F.col("process.pid") == F.col("_pid"), F.struct("seq", "process"))).alias("_last"))
+    spans = known.join(spans, "run_id", "left")
+    marks = spans.where(F.col("_exit").isNotNull()).select("run_id", F.col("_exit").alias("seq"), "_code")
+    ended = events.join(marks, ["run_id", "seq"], "left").withColumn("exit_code", F.coalesce("_code", "exit_code")).drop("_code")
+    missing = spans.where(F.col("_exit").isNull()).select(
+        "run_id", (F.coalesce("_end", F.lit(0).cast("long")) + 1).alias("seq"), F.lit("Exit").alias("kind"), F.coalesce("_last.process", "_root").alias("process"), F.lit(False).alias("external"), F.col("_code").alias("exit_code")
+    )
+    return ended.unionByName(missing, allowMissingColumns=True)

@@ -106,8 +106,7 @@ def stability(leaves: DataFrame, baseline: DataFrame, run_roots: DataFrame | Non
     counts = leaves.select("run_id", "leaf").distinct().join(base, "leaf", "left").groupBy("run_id").agg(F.count("*").alias("leaf_count"), F.count("_b").alias("_common"))
     if run_roots is not None:
         counts = run_roots.join(counts, "run_id", "left")
-    total = base.agg(F.count("*").alias("_total"))  # one row
-    counts = counts.join(F.broadcast(total)).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("leaf_count", "_common")})
+    counts = counts.withColumn("_total", base.agg(F.count("*").alias("_total")).scalar()).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("leaf_count", "_common")})
     union = F.col("leaf_count") + F.col("_total") - F.col("_common")
     return counts.withColumns({
         "leaf_jaccard": F.when(union == 0, F.lit(1.0)).otherwise(F.col("_common").cast("double") / union),
@@ -125,4 +124,5 @@ def stability_summary(runs: DataFrame) -> DataFrame:
 
 
 def percentage(part: Column, whole: Column) -> Column:
+    """A share as reports have it."""
     return F.format_string("%.1f%%", F.when(whole == 0, F.lit(0.0)).otherwise(100.0 * part / whole))

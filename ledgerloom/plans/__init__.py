@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import shell_command
 from ..operators import attest, canonical, compare, enrich, merkle, provenance, snapshots
+from ..tables import materialize
+
+
+#: Names that one document's policy has at most.
+MOST_NAMED = 100_000
 
 
 def check_drops(dropped: DataFrame, allowed: bool = False) -> int:
@@ -27,14 +34,40 @@ def operations(traced: DataFrame, roots: DataFrame, outputs: DataFrame | None, w
 
 
 def trace(raw: DataFrame, observations: DataFrame, roots: DataFrame, before: DataFrame, after: DataFrame, command: list[str], watch: list[str] = (), output_roots: list[str] = (), wanted: DataFrame | None = None, allow_drops: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Attestations and operations of recorded runs; ``roots``: run_id, pid, cwd, root, obs."""
+    """Attestations and operations of recorded runs; ``roots``: run_id, pid, cwd, root, obs and, if known, status (of waiting for the root)."""
     events, dropped = enrich.traced(raw, observations, roots, watch)
     check_drops(dropped, allow_drops)
-    outputs = snapshots.select_outputs(before, after, output_roots, wanted)
-    ops = operations(enrich.with_root_exec(events, roots), roots, outputs, watch)
+    events = enrich.with_root_exec(events, roots)
+    if "status" in roots.columns:
+        events = enrich.with_root_exit(events, roots)
+    outputs = materialize(snapshots.select_outputs(before, after, output_roots, wanted), "outputs")
+    ops = materialize(operations(events, roots, outputs, watch), "ops")
+    return materialize(attest.assemble(ops, outputs, command, selection(output_roots, wanted)), "documents"), ops
+
+
+def selection(output_roots: list[str] = (), wanted: DataFrame | None = None) -> dict:
+    """The policy that documents record: what a user named, as the user named it."""
     explicit = bool(output_roots) or wanted is not None
-    chosen = {"mode": "explicit" if explicit else "inferred", "output_roots": list(output_roots), "artifacts": [] if wanted is None else [r.path for r in wanted.select("path").distinct().orderBy("path").collect()]}
-    return attest.assemble(ops, outputs, command, chosen), ops
+    named = [] if wanted is None else [r.path for r in wanted.select("path").distinct().orderBy("path").limit(MOST_NAMED + 1).collect()]
+    if len(named) > MOST_NAMED:
+        raise ValueError(f"a document names at most {MOST_NAMED} artifacts; name their folder instead")
+    return {"mode": "explicit" if explicit else "inferred", "output_roots": list(output_roots), "artifacts": named}
+
+
+def verify_trace(expected: DataFrame, raw: DataFrame, observations: DataFrame, roots: DataFrame, before: DataFrame, after: DataFrame, command: list[str], watch: list[str] = (), output_roots: list[str] = (), wanted: DataFrame | None = None, pinned: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Trace the recorded runs anew and hold them against ``expected`` (run_id and a document): verdicts, and the new documents.
+
+    Lost events are an error, whatever was allowed when the documents were
+    made.  A document's policy is never taken from it: if that was explicit, it
+    has to be given again.
+    """
+    actual, _ = trace(raw, observations, roots, before, after, command, watch, output_roots, wanted)
+    verdicts = verify(expected, actual, pinned)
+    if output_roots or wanted is not None:
+        return verdicts, actual
+    policy = expected.select("run_id", (F.col("output_selection.mode") == "explicit").alias("_named"))
+    again = F.when(F.col("_named") & (F.col("verdict") == "output selection differs"), "the outputs were chosen; name them again").otherwise(F.col("verdict"))
+    return verdicts.join(policy, "run_id").select("run_id", again.alias("verdict")), actual
 
 
 def verify(expected: DataFrame, actual: DataFrame, pinned: str | None = None) -> DataFrame:
@@ -69,8 +102,9 @@ def diff(expected: DataFrame, actual: DataFrame, n: int = 12) -> dict[str, DataF
     outputs = [d.select(F.explode("outputs").alias("o")).select("o.*") for d in (expected, actual)]
     delta = merkle.leaf_diff(*leaves)
     changes = compare.output_delta(*outputs).where("change <> 'same'")
-    e, a = (d.select(F.struct("root_hash", "command", "output_selection", F.col("tree.leaf_count").alias("operations")).alias(name)) for d, name in ((expected, "e"), (actual, "a")))
-    summary = e.join(F.broadcast(a)).select(*((F.col(f"e.{c}") == F.col(f"a.{c}")).alias(f"same_{c}") for c in ("root_hash", "command", "output_selection", "operations")), compare.list_delta(F.col("e.command"), F.col("a.command")).alias("command_delta"))
+    said = lambda d, name: d.select(F.struct("root_hash", "command", "output_selection", F.col("tree.leaf_count").alias("operations")).alias(name))
+    # One document each; a second row is an error.
+    summary = said(expected, "e").withColumn("a", said(actual, "a").scalar()).select(*((F.col(f"e.{c}") == F.col(f"a.{c}")).alias(f"same_{c}") for c in ("root_hash", "command", "output_selection", "operations")), compare.list_delta(F.col("e.command"), F.col("a.command")).alias("command_delta"))
     return {"summary": summary, "outputs": changes.orderBy("path").limit(20), "output_counts": changes.groupBy("change").count(), "leaves": compare.first_of_each(delta, "side", "leaf", n)}
 
 
@@ -80,8 +114,9 @@ def stability(docs: DataFrame, baseline: str) -> tuple[DataFrame, DataFrame]:
         raise ValueError("at least 2 runs are needed")
     base = docs.where(F.col("source") == baseline)
     leaves = docs.select(F.col("source").alias("run_id"), F.explode("tree.leaves").alias("leaf"))
-    first = base.select(F.col("root_hash").alias("_r"), F.col("process_root").alias("_p"))
-    runs = docs.select(F.col("source").alias("run_id"), "root_hash", "process_root").join(F.broadcast(first)).select("run_id", (F.col("root_hash") == F.col("_r")).alias("root_match"), (F.col("process_root") == F.col("_p")).alias("process_root_match"))
+    # Of the baseline there is one row; a second one is an error.
+    first = base.select(F.struct("root_hash", "process_root").alias("r")).scalar()
+    runs = docs.select(F.col("source").alias("run_id"), (F.col("root_hash") == first["root_hash"]).alias("root_match"), (F.col("process_root") == first["process_root"]).alias("process_root_match"))
     rows = merkle.stability(leaves, base.select(F.explode("tree.leaves").alias("leaf")), runs)
     return rows.withColumnRenamed("run_id", "path"), merkle.stability_summary(rows)
 
@@ -92,15 +127,25 @@ def is_stable(summary: DataFrame) -> bool:
     return row.run_count == row.root_matches
 
 
-def report(rows: DataFrame, summary: DataFrame) -> str:
-    """A stability report as text."""
-    s = summary.first()
-    share = 100.0 * s.root_matches / s.run_count if s.run_count else 0.0
-    lines = [f"Runs: {s.run_count}", f"Root matches: {s.root_matches} ({share:.1f}%)", f"Process root matches: {s.process_root_matches}", f"Leaf similarity: least {s.minimum_leaf_jaccard:.4f}, mean {s.mean_leaf_jaccard:.4f}"]
+def report(rows: DataFrame, summary: DataFrame, dropped: int = 0) -> str:
+    """A stability report as text; ``rows`` come one partition at a time."""
+    shares = [merkle.percentage(F.col(c), F.col("run_count")).alias(f"{c}_share") for c in ("root_matches", "process_root_matches")]
+    s = summary.select("*", *shares).first()
+    lines = [f"Runs: {s.run_count}", f"Root matches: {s.root_matches} ({s.root_matches_share})", f"Process root matches: {s.process_root_matches} ({s.process_root_matches_share})", f"Leaf similarity: least {s.minimum_leaf_jaccard:.6f}, mean {s.mean_leaf_jaccard:.6f}"]
     lines += [f"  {r.path}: {'same' if r.root_match else 'differs'}, {r.leaf_count} leaves, {r.missing_leaves} missing, {r.added_leaves} added" for r in rows.orderBy("path").toLocalIterator()]
+    if s.root_matches < s.run_count:
+        lines.append(f"{s.run_count - s.root_matches} of {s.run_count} runs have another root")
+    if dropped:
+        lines.append(f"Dropped events: {dropped}")
     return "\n".join(lines)
 
 
+def report_json(rows: DataFrame, summary: DataFrame, baseline: str | None = None) -> str:
+    """The same as JSON, for other programs."""
+    runs = [r.asDict() for r in rows.orderBy("path").toLocalIterator()]
+    return json.dumps(summary.first().asDict() | {"baseline": baseline if baseline is not None else runs[0]["path"], "runs": runs}, indent=2)
+
+
 def harness(traced: DataFrame, roots: DataFrame, command: list[str], runs: int, outputs: DataFrame | None = None, watch: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """All runs of one command in one job: attestations, then their stability against the least run_id."""
     if runs < 2:

@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -44,7 +44,8 @@ def local_snapshot(spark: SparkSession, root: str, run_id: int, phase: str) -> D
             shown, target = os.path.relpath(at, root), os.readlink(at) if os.path.islink(at) else None
             if os.path.isfile(at):
                 try:
-                    digest = "sha256:" + hashlib.sha256(Path(at).read_bytes()).hexdigest()
+                    with open(at, "rb") as f:
+                        digest = "sha256:" + hashlib.file_digest(f, "sha256").hexdigest()
                 except OSError:
                     digest = None
                 rows.append((run_id, phase, shown, "File", digest, target))
@@ -62,8 +63,22 @@ def write_attestation(doc: DataFrame, path: str) -> None:
     """One document as indented JSON."""
     rows = doc.drop("run_id", "source").limit(2).collect()
     if len(rows) != 1:
-        raise ValueError("one document is written at a time; use DataFrame.write.json for many")
-    Path(path).write_text(json.dumps(rows[0].asDict(recursive=True), indent=2, ensure_ascii=False))
+        raise ValueError("one document is written at a time; use write_attestations for many")
+    _write_json(rows[0], path)
+
+
+def _write_json(row: Row, path: str) -> None:
+    Path(path).write_text(json.dumps(row.asDict(recursive=True), indent=2, ensure_ascii=False))
+
+
+def write_attestations(docs: DataFrame, folder: str) -> int:
+    """Each document as indented JSON, named by its run; they come to the driver one partition at a time, in one job."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    n = 0
+    for row in docs.toLocalIterator():
+        _write_json(Row(**{k: v for k, v in row.asDict().items() if k not in ("run_id", "source")}), f"{folder}/{row.run_id}.json")
+        n += 1
+    return n
 
 
 def write_ops(ops: DataFrame, path: str, fmt: str = "json") -> None:

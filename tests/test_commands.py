@@ -33,6 +33,8 @@ def test_round_trip(spark, tmp_path, capsys):
     doc = str(tmp_path / "docs" / "0.json")
     made = json.loads(open(doc).read())
     assert made["outputs"] == [{"path": "/w/out", "hash": "new"}] and made["tree"]["leaf_count"] == 3 and made["command"] == ["make", "all"]
+    again = ["verify-trace", str(tmp_path / "in"), "--expected", str(tmp_path / "docs")]
+    assert main([*again, "make", "all"]) == 0 and main([*again, "make"]) == 1
     assert main(["verify", doc, doc]) == 0 and main(["diff", doc, doc]) == 0 and main(["explain", doc]) == 0
     assert main(["stability", doc, doc, "--strict", "--json"]) == 0
     key = str(tmp_path / "key")
@@ -46,5 +48,5 @@ def test_round_trip(spark, tmp_path, capsys):
     build = [ev("Exec", obs="t"), *write(ROOT, "/o", "x"), ev("Exit", exit_code=0)]
     frame(spark, build, build).write.parquet(str(tmp_path / "h" / "traced"))
     spark.createDataFrame([(r, Row(*ROOT)) for r in (0, 1)], f"run_id long, root {schema.PROCESS}").write.parquet(str(tmp_path / "h" / "roots"))
-    assert main(["harness", str(tmp_path / "h"), "--strict", "make"]) == 0
+    assert main(["harness", str(tmp_path / "h"), "--strict", "--json", "make"]) == 0
     capsys.readouterr()

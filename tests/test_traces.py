@@ -430,6 +430,91 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and set(got) == {0, 1}
 
 
+def test_late_events_are_counted(spark, tmp_path):
+    """What comes for a run after its end changes no root; it is counted, and checking for losses fails."""
+    from ledgerloom.streaming import canonicalize_stream, late_events
+
+    build = [ev("Exec", obs="t"), *write(ROOT, "/o", "x"), ev("Exit", exit_code=0)]
+    df = frame(spark, build, build[:2])
+    late = frame(spark, [ev("FileUnlink", path="/o", flags=0, obs="x")] * 2).withColumn("seq", schema_seq())
+    more = frame(spark, [], build).where("run_id = 1 AND seq >= 2")
+    for part, rows in (("a", df), ("b", late.unionByName(more)), ("c", late)):
+        rows.coalesce(1).write.json(str(tmp_path / "in" / part))
+        stream = spark.readStream.schema(schema.TRACED_EVENT).json(str(tmp_path / "in" / "*"))
+        q = canonicalize_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), roots(spark, 2)).start()
+        q.processAllAvailable()
+        q.stop()
+    got = spark.read.parquet(str(tmp_path / "out" / "roots")).collect()
+    assert sorted(r.run_id for r in got) == [0, 1] and len({r.root for r in got}) == 1
+    lost = late_events(df, str(tmp_path / "out"))
+    assert {r.run_id: r.dropped for r in lost.collect()} == {0: 4}
+    with pytest.raises(RuntimeError):
+        plans.check_drops(lost)
+    # Runs that were emitted in an earlier batch have left the state.
+    assert not list((tmp_path / "out" / "events").glob("batch=*/run_id=0"))
+
+
+def schema_seq():
+    from pyspark.sql import functions as F
+
+    return F.lit(99).cast("long")
+
+
+def test_raw_stream_equals_batch(spark, tmp_path):
+    from ledgerloom.operators import merkle
+    from ledgerloom.streaming import trace_stream
+
+    one = [opened(1, "/w/o", 3), forked(1, 2), *moved(2, "/w", "/v", 1), closed(2, 3), {"kind": 4, "pid": 1, "exit_code": 0}]
+    raw = raw_frame(spark, one, one[:3])
+    seen = seen_of(spark, raw)
+    root = spark.createDataFrame([(r, 1, "/", Row(*ROOT), Row("content", "cc")) for r in (0, 1)], f"run_id long, pid long, cwd string, root {schema.PROCESS}, obs {schema.OBSERVATION}")
+    for part, condition in (("a", "timestamp_ns < 2"), ("b", "timestamp_ns >= 2")):
+        raw.where(condition).coalesce(1).write.json(str(tmp_path / "in" / part))
+        q = trace_stream(spark.readStream.schema(schema.RAW_EVENT).json(str(tmp_path / "in" / "*")), str(tmp_path / "out"), str(tmp_path / "ck"), root, seen).start()
+        q.processAllAvailable()
+        q.stop()
+    events, _ = enrich.traced(raw.where("run_id = 0"), seen, root)
+    want = merkle.roots(canonical.canonicalize(enrich.with_root_exec(events, root), root)).where("run_id = 0").first().root
+    assert [(r.run_id, r.root) for r in spark.read.parquet(str(tmp_path / "out" / "roots")).collect()] == [(0, want)]
+
+
+def test_root_exit(spark):
+    """The wait status is the root's code; a run that has no exit gets one at its end."""
+    events = frame(spark, [ev("Exec", obs="t"), ev("Exit", exit_code=0), ev("Exit", P2, exit_code=0)], [ev("Exec", obs="t"), ev("Exec", (1, 0, 1), obs="u")], [ev("Exit", exit_code=0)])
+    known = spark.createDataFrame([(0, Row(*ROOT), 3 << 8), (1, Row(*ROOT), 9), (2, Row(*ROOT), None)], f"run_id long, root {schema.PROCESS}, status int")
+    got = {(r.run_id, tuple(r.process)): (r.seq, r.exit_code) for r in enrich.with_root_exit(events, known).where("kind = 'Exit'").collect()}
+    assert got == {(0, ROOT): (1, 3), (0, P2): (2, 0), (1, (1, 0, 1)): (2, 137), (2, ROOT): (0, 0)}
+    assert [enrich.exit_code(s) for s in (3 << 8, 9)] == [3, 137]
+
+
+def test_verify_traces_anew(spark):
+    raw = raw_frame(spark, [{"kind": 3, "pid": 1, "path": "/bin/make"}, opened(1, "out", 3), closed(1, 3), {"kind": 4, "pid": 1, "exit_code": 0}])
+    root = spark.createDataFrame([(0, 1, "/w", Row(*ROOT), Row("content", "cc"), 0)], f"run_id long, pid long, cwd string, root {schema.PROCESS}, obs {schema.OBSERVATION}, status int")
+    shot = lambda *rows: spark.createDataFrame([(0, "x", *r) for r in rows], schema.SNAPSHOT)
+    before, after = shot(), shot(("/w/out", "File", "h2", None))
+    given = (raw, seen_of(spark, raw), root, before, after)
+    docs, ops = plans.trace(*given, ["make"])
+    assert kinds(ops.collect()) == ["Exec", "Exit", "FileWrite"]
+    verdict = lambda expected, tables, *a, **k: plans.verify_trace(expected, *tables, *a, **k)[0].first().verdict
+    assert verdict(docs, given, ["make"]) is None and verdict(docs, given, ["make", "x"]) == "command differs"
+    changed = (raw, seen_of(spark, raw).selectExpr("run_id", "timestamp_ns", "pid", "kind", "named_struct('kind', 'content', 'hash', concat('z', timestamp_ns)) AS obs"), *given[2:])
+    assert verdict(docs, changed, ["make"]) == "root differs"
+    chosen, _ = plans.trace(*given, ["make"], output_roots=["/w"])
+    assert verdict(chosen, given, ["make"]) == "the outputs were chosen; name them again" and verdict(chosen, given, ["make"], output_roots=["/w"]) is None
+    broken = (raw.unionByName(raw.where("kind = 4").selectExpr("* EXCEPT (kind)", "99 AS kind").select(*raw.columns)), *given[1:])
+    with pytest.raises(RuntimeError):
+        verdict(docs, broken, ["make"])
+
+
+def test_one_baseline(spark):
+    leaves = spark.createDataFrame([(r, f"sha256:{r}{i}") for r in (0, 1) for i in range(3)], "run_id long, leaf string")
+    docs = attest.assemble(leaves, outputs(spark), ["make"]).selectExpr("*", "'same' AS source")
+    with pytest.raises(Exception, match="(?i)more than one row"):
+        plans.stability(docs, "same")[1].collect()
+    rows, summary = plans.stability(docs.withColumn("source", docs.run_id.cast("string")), "0")
+    assert '"root_matches": 1' in plans.report_json(rows, summary) and "1 of 2 runs have another root" in plans.report(rows, summary, 3)
+
+
 # --- a plain walk ---------------------------------------------------------------------------------
 
 
