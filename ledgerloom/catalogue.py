@@ -581,4 +581,4 @@ def ed25519_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dsse.verify_envelopes(e, dsse.public_key(seed)).select("n_nationkey", "verified")
 
 
-from . import forest  # noqa: E402, F401  (its queries join these)
+from . import forest, records  # noqa: E402, F401  (their queries join these)

@@ -34,7 +34,7 @@ def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(number.isin(1, 3, 6, 8), path).alias("path"), null("int").alias("path_len"), F.col("event_id").alias("operation_id"), F.when(number == 4, k % 5).cast("int").alias("exit_code"),
         F.col("user_id").alias("parent_pid"), F.when(number == 9, 2 * F.col("user_id") + 1 + F.floor(k / 2) % 2).cast("long").alias("child_pid"), null("string").alias("proc_target"), null("string").alias("cwd"),
     )
-    target = F.concat(F.lit("/w/d"), F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("string"), F.when(k % 6 == 0, F.lit("/in")).otherwise(F.lit("")))
+    target = F.concat(F.lit("/w/d"), F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("string"), F.when(k == 54, F.lit("/in")).otherwise(F.lit("")))
     to = e.where((kind == "error") & (k % 2 == 0)).select("run_id", (F.col("seq") * 1000).alias("timestamp_ns"), target.alias("_to"))
     second = rows.where("kind = 6").join(to, ["run_id", "timestamp_ns"]).withColumns({"kind": F.lit(7), "path": F.col("_to")}).drop("_to")
     return rows.unionByName(second)
@@ -69,7 +69,7 @@ kinds AS (
       WHEN t = 'error' THEN CASE k % 2 WHEN 0 THEN 'FileRename' ELSE 'FileUnlink' END WHEN t = 'view' AND k % 4 = 0 THEN 'FileMmap' ELSE 'FileOpen' END AS kind,
     CASE WHEN t = 'click' THEN CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END WHEN t = 'error' AND k % 20 = 0 THEN 2 WHEN t = 'view' AND k % 4 = 0 THEN 1 ELSE 0 END AS flags,
     CASE WHEN k % 8 = 0 THEN 3 ELSE 1 END AS prot, u % 7 = 3 AND kind NOT IN ('Exec', 'Fork', 'Exit') AS ext, CASE WHEN kind = 'Exec' THEN '/bin/t' || k WHEN t = 'click' AND k % 13 = 0 THEN '/proc/' || k ELSE '/w/d' || (k % 10) || '/f' || k END AS p,
-    '/w/d' || (k % 10) AS f, '/w/d' || (k // 10) || CASE WHEN k % 6 = 0 THEN '/in' ELSE '' END AS g, 2 * u + 1 + (k // 2) % 2 AS child
+    '/w/d' || (k % 10) AS f, '/w/d' || (k // 10) || CASE WHEN k = 54 THEN '/in' ELSE '' END AS g, 2 * u + 1 + (k // 2) % 2 AS child
   FROM base
 ),
 placed AS (SELECT *, 2 * (n + count(*) FILTER (WHERE kind = 'FileRename') OVER (PARTITION BY run_id ORDER BY n ROWS UNBOUNDED PRECEDING)) AS s FROM kinds),
