@@ -579,6 +579,3 @@ def ed25519_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "nation").select("n_nationkey", signed("n_name").alias("e")).select("n_nationkey", "e.*")
     e = e.withColumn("payload", F.when(F.col("n_nationkey") % 2 == 1, F.base64(_text("x").cast("binary"))).otherwise(F.col("payload")))
     return dsse.verify_envelopes(e, dsse.public_key(seed)).select("n_nationkey", "verified")
-
-
-from . import forest, records  # noqa: E402, F401  (their queries join these)

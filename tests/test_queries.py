@@ -1,12 +1,12 @@
 import pytest
 from conftest import same
 
-from ledgerloom import catalogue
+from ledgerloom import catalogue, queries
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, duck, name):
-    assert same(catalogue.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df())
+    assert same(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
 
 
 def test_signatures(spark, sf_dir):
