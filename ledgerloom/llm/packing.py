@@ -43,8 +43,48 @@ def byte_characters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+#: The steps before the model of the tokenizer that Encoder takes apart.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+class WholeTexts:
+    """Ids of texts in UTF-8 by all steps of any tokenizer."""
+
+    def __init__(self, definition: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition.decode("utf-8"))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), 64):
+            part = [(t or b"").decode("utf-8") for t in texts[at : at + 64]]
+            out += [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+
+def encoder_of(definition: bytes) -> WholeTexts | Encoder:
+    """Word by word where the tokenizer's steps are those that allow it, else whole texts."""
+    found = json.loads(definition)
+    model = found.get("model") or {}
+    apart = all(found.get(k) == v for k, v in STEPS.items()) and model.get("type") == "BPE" and not model.get("dropout") and all(t["content"].startswith("<|") for t in found.get("added_tokens", []))
+    return (Encoder if apart else WholeTexts)(definition)
+
+
 class Encoder:
-    """Ids of texts in UTF-8.
+    """Ids of texts in UTF-8, for a tokenizer of the steps in STEPS.
 
     The tokenizer drops ASCII white space and joins nothing across it, so ids
     are those of the words between.  New words are encoded many at a time:
@@ -52,7 +92,8 @@ class Encoder:
     model in place of all its steps (they are one piece each, in lower case),
     any others by all steps.  Words are remembered by their 64-bit hash in
     two generations: of what was used since the last change of generations
-    nothing is forgotten, and memory stays bounded.
+    nothing is forgotten, and memory stays bounded.  That two of a million
+    words share a hash has a probability of 3e-8.
     """
 
     def __init__(self, definition: bytes):
@@ -167,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end
         key = zlib.crc32(definition.value)
         if key not in cache:
             cache.clear()
-            cache[key] = Encoder(definition.value)
+            cache[key] = encoder_of(definition.value)
         encoder, task, count = cache[key], TaskContext.get().partitionId(), dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)
         tail = np.array([end_id], dtype="<u4")
         np.seterr(over="ignore")

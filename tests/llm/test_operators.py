@@ -635,6 +635,27 @@ def test_packing(spark, docs):
     assert [r.length for r in ordered] == sorted((r.length for r in got), reverse=True)
 
 
+def test_any_tokenizer(spark, docs):
+    """A tokenizer of other steps is run as it is; the one that is taken apart is told by its steps."""
+    import json
+    from pathlib import Path
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Path(packing.default_tokenizer()).read_bytes()
+    assert isinstance(packing.encoder_of(own), packing.Encoder)
+    changed = json.loads(own) | {"normalizer": None}
+    assert isinstance(packing.encoder_of(json.dumps(changed).encode()), packing.WholeTexts)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    got = defaultdict(dict)
+    for r in packing.pack(docs, tokenizer=path, with_ids=True).collect():
+        got[r.doc_id][r.start] = r.ids
+    for r in docs.collect():
+        assert [x for s in sorted(got[r.doc_id]) for x in got[r.doc_id][s]] == [*whole.encode(r.text or "", add_special_tokens=False).ids, 1]
+
+
 # --- 9 --------------------------------------------------------------------------------------------
 
 
