@@ -13,7 +13,7 @@ from . import plans, schema
 from .catalogue import _digest, _hex_text, _hex_u32, _merkle_sql, _numbered, _read, _text, query
 from .forest import _EVENTS, _TOOLS, _ops, traced_view
 from .functions import hashing, paths
-from .operators import attest, canonical, compare, enrich, merkle, provenance
+from .operators import attest, canonical, compare, enrich, merkle, process, provenance
 
 # --- documents of customers ------------------------------------------------------------------------
 
@@ -171,7 +171,7 @@ def _odd_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(k % 17 == 0, F.lit("\x00\x00")).when(k % 5 == 0, _text("rel/", k)).otherwise(_text("/w/d", k % 10, "/f", k, "\x00\x00"))
     return e.select(
         "run_id", kind.alias("kind"), F.when(u % 6 == 5, 1).otherwise(0).alias("source"), (F.col("seq") * 1000).alias("timestamp_ns"), u.alias("pid"), u.alias("tgid"), F.when(kind.isin(1, 2, 5), (k % 6).cast("int") - 1).alias("fd"),
-        F.lit(schema.AT_FDCWD).alias("dfd"), (k % 2).cast("long").alias("flags"), null("long").alias("prot"), F.when(kind.isin(1, 3, 8), path).alias("path"), null("int").alias("path_len"), F.col("event_id").alias("operation_id"), null("int").alias("exit_code"),
+        F.lit(schema.AT_FDCWD).alias("dfd"), (k % 2 + F.when(k % 9 == 0, schema.O_TRUNC).otherwise(0)).cast("long").alias("flags"), null("long").alias("prot"), F.when(kind.isin(1, 3, 8), path).alias("path"), null("int").alias("path_len"), F.col("event_id").alias("operation_id"), null("int").alias("exit_code"),
         u.alias("parent_pid"), F.when(kind == 9, 2 * u + 1).cast("long").alias("child_pid"), null("string").alias("proc_target"), F.when(k % 7 == 0, _text("/c", k % 3)).alias("cwd"),
     )
 
@@ -241,6 +241,61 @@ def folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where("kind IN ('FileOpen', 'FileUnlink')").join(numbers, "run_id").select("run_id", (F.element_at("t", (F.col("seq") / 2).cast("int")) / 1000).cast("long").alias("seq"), "path")
 
 
+@query(f"""
+WITH {_ODD_RAW} SELECT run_id, CAST(seq AS BIGINT) AS seq, CASE WHEN k % 9 = 0 THEN '{schema.EMPTY_CONTENT}' WHEN k % 4 = 1 THEN 'missing:sha256:' || sha256('m' || k) ELSE 'sha256:' || sha256('c' || k) END AS identity
+FROM bad WHERE NOT broken AND kind = 1 AND fd >= 0 AND NOT stranger
+""")
+def open_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What opens saw: nothing, where they truncate."""
+    raw = _odd_raw(spark, sf_dir).where("source = 0")
+    e = _read(spark, sf_dir, "events").select(F.col("event_id").alias("operation_id"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    gone = F.col("k") % 4 == 1
+    obs = F.struct(F.when(gone, "missing").otherwise("content").alias("kind"), _digest(F.when(gone, "m").otherwise("c"), F.col("k")).alias("hash"))
+    seen = raw.join(e, "operation_id").select("run_id", "timestamp_ns", "pid", "kind", obs.alias("obs"))
+    events, _ = enrich.traced(raw, seen, None, [])
+    numbers = raw.select("run_id", "timestamp_ns").groupBy("run_id").agg(F.sort_array(F.collect_list("timestamp_ns")).alias("t"))
+    return events.where("kind = 'FileOpen'").join(numbers, "run_id").select("run_id", (F.element_at("t", (F.col("seq") / 2).cast("int")) / 1000).cast("long").alias("seq"), paths.identity(F.col("obs")).alias("identity"))
+
+
+@query(f"WITH {_ODD_RAW} SELECT run_id, event_id AS operation_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq // 10, kind, u, event_id) AS BIGINT) AS seq FROM raw")
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of events, ten of which share a time."""
+    raw = _odd_raw(spark, sf_dir).withColumn("timestamp_ns", F.floor(F.col("timestamp_ns") / 10_000))
+    return process.sequence(raw).select("run_id", "operation_id", "seq")
+
+
+_DIFF = """
+e AS (SELECT source || '/' || doc_id AS path, 'sha256:' || sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS hash FROM documents WHERE doc_id % 5 <> 0),
+a AS (SELECT source || '/' || doc_id AS path, 'sha256:' || sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0),
+d AS (SELECT path, CASE WHEN a.hash IS NULL THEN 'missing' WHEN e.hash IS NULL THEN 'added' ELSE 'changed' END AS change FROM e FULL JOIN a USING (path) WHERE e.hash IS DISTINCT FROM a.hash),
+l AS (SELECT 'missing' AS side, hash FROM (SELECT hash FROM e EXCEPT SELECT hash FROM a) UNION ALL SELECT 'added', hash FROM (SELECT hash FROM a EXCEPT SELECT hash FROM e))
+"""
+
+
+@query(f"""
+WITH {_DIFF} SELECT * FROM (SELECT 'output' AS part, path AS item, change FROM d ORDER BY path LIMIT 20)
+UNION ALL SELECT 'count', CAST(count(*) AS VARCHAR), change FROM d GROUP BY change
+UNION ALL SELECT 'leaf', hash, side FROM l QUALIFY row_number() OVER (PARTITION BY side ORDER BY hash) <= 12
+UNION ALL SELECT 'summary', 'command', 'same' UNION ALL SELECT 'summary', 'root_hash', 'differs' UNION ALL SELECT 'summary', 'operations', CASE WHEN (SELECT count(DISTINCT hash) FROM e) = (SELECT count(DISTINCT hash) FROM a) THEN 'same' ELSE 'differs' END
+""")
+def document_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents, each with all texts as outputs: what differs, as it is shown."""
+    d = _read(spark, sf_dir, "documents")
+
+    def document(rows: DataFrame, text: Column) -> DataFrame:
+        outs = rows.select(F.lit(0).cast("long").alias("run_id"), _text(F.col("source"), "/", F.col("doc_id")).alias("path"), hashing.sha256(text.cast("binary")).alias("hash"))
+        return attest.assemble(outs.select("run_id", F.col("hash").alias("leaf")), outs, ["make"])
+
+    expected = document(d.where("doc_id % 5 <> 0"), F.when(F.col("doc_id") % 7 == 0, _text(F.col("text"), "x")).otherwise(F.col("text")))
+    found = plans.diff(expected, document(d.where("doc_id % 3 <> 0"), F.col("text")))
+    rows = found["outputs"].select(F.lit("output").alias("part"), F.col("path").alias("item"), "change")
+    rows = rows.unionByName(found["output_counts"].select(F.lit("count").alias("part"), F.col("count").cast("string").alias("item"), "change"))
+    rows = rows.unionByName(found["leaves"].select(F.lit("leaf").alias("part"), F.col("leaf").alias("item"), F.col("side").alias("change")))
+    for c in ("command", "root_hash", "operations"):
+        rows = rows.unionByName(found["summary"].select(F.lit("summary").alias("part"), F.lit(c).alias("item"), F.when(F.col(f"same_{c}"), "same").otherwise("differs").alias("change")))
+    return rows
+
+
 # --- whole traces: summaries, slices, harness -----------------------------------------------------------
 
 
@@ -336,6 +391,21 @@ def slice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.trace_summary(_sliced(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {_EVENTS}, {_TOOLS}, {_FLOWS} SELECT run_id, leaf, op_type FROM sops UNION SELECT run_id, leaf, op_type FROM ops WHERE run_id = 2")
+def chosen_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliced operations of runs with outputs, all operations of the run without."""
+    traced, roots = traced_view(spark, sf_dir)
+    return plans.operations(traced, roots, _slice_outputs(traced), ["/w/d1", "/w/d3/"]).select("run_id", "leaf", "op_type")
+
+
+@query(f"WITH RECURSIVE {_EVENTS}, {_TOOLS} SELECT run_id, CAST(CASE WHEN own THEN 0 ELSE row_number() OVER (PARTITION BY run_id, own ORDER BY first) END AS BIGINT) AS process_index, CAST(first AS BIGINT) AS first_seq FROM (SELECT *, pid = 0 AND gen = 0 AND epoch = 0 AS own FROM seen)")
+def process_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical numbers of process instances: the root is 0, the others as they first act."""
+    traced, roots = traced_view(spark, sf_dir)
+    ops = canonical.operations(traced, roots, ["/w/d1", "/w/d3/"]).where(F.col("process_index") != schema.NO_PROCESS)
+    return ops.groupBy("run_id", "process_index").agg(F.min("seq").alias("first_seq"))
+
+
 _HARNESS = f"""
 {_EVENTS}, {_TOOLS}, {_merkle_sql('ops')}, hbase AS (SELECT DISTINCT leaf FROM ops WHERE run_id = 0), size AS (SELECT count(*) AS total FROM hbase),
 per AS (SELECT ops.run_id, count(DISTINCT ops.leaf) AS leaf_count, count(DISTINCT hbase.leaf) AS common FROM ops LEFT JOIN hbase ON hbase.leaf = ops.leaf GROUP BY ops.run_id)

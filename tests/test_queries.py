@@ -4,6 +4,23 @@ from conftest import same
 from ledgerloom import catalogue, queries
 
 
+@pytest.fixture(scope="module", autouse=True)
+def traced_once():
+    """The whole traces are enriched once for all queries here."""
+    from ledgerloom import forest, records
+
+    made, kept = forest.traced_view, {}
+
+    def once(spark, sf_dir):
+        if sf_dir not in kept:
+            kept[sf_dir] = made(spark, sf_dir)
+        return kept[sf_dir]
+
+    forest.traced_view = records.traced_view = once
+    yield
+    forest.traced_view = records.traced_view = made
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     assert same(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
