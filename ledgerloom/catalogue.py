@@ -375,20 +375,21 @@ def display_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- provenance from line items -------------------------------------------------------------------
 
 
-def _graph(spark: SparkSession, sf_dir: str, reads: str = "l_quantity = 3 AND l_returnflag = 'R'", writes: str = "l_quantity = 4 AND l_returnflag = 'A'", outputs: str = "l_partkey < 20") -> dict[str, DataFrame]:
+def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every line item is a read or a write (flag A); of what is written, parts of an item of quantity 50 are outputs, a share that grows with the table."""
     items = _read(spark, sf_dir, "lineitem").select(F.lit(0).cast("long").alias("run_id"), F.col("l_suppkey").alias("process"), "l_partkey", "l_quantity", "l_returnflag")
     edge = lambda df: df.select("run_id", "process", _text("c", F.col("l_partkey")).alias("hash")).distinct()
-    written = items.where(writes)
+    written = items.where("l_returnflag = 'A'")
     by_path = written.select("run_id", _text("p", F.col("l_partkey")).alias("path"), "process").distinct()
-    selected = written.where(outputs).select("run_id", _text("p", F.col("l_partkey")).alias("path"), _text("c", F.col("l_partkey")).alias("hash")).distinct()
+    selected = written.where("l_quantity = 50").select("run_id", _text("p", F.col("l_partkey")).alias("path"), _text("c", F.col("l_partkey")).alias("hash")).distinct()
     flows = items.select("run_id", "process").distinct().select("run_id", "process", _text("t", F.col("process") % 7).alias("tool_hash"), (F.col("process") % 2 == 0).alias("has_exec"))
-    return {"reads": edge(items.where(reads)), "writes": edge(written), "by_path": by_path, "outputs": selected, "flows": flows}
+    return {"reads": edge(items.where("NOT (l_returnflag <=> 'A')")), "writes": edge(written), "by_path": by_path, "outputs": selected, "flows": flows}
 
 
 _GRAPH = """
-reads AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS h FROM lineitem WHERE l_quantity = 3 AND l_returnflag = 'R'),
-writes AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS h FROM lineitem WHERE l_quantity = 4 AND l_returnflag = 'A'),
-outputs AS (SELECT DISTINCT h FROM writes WHERE h < 20),
+reads AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS h FROM lineitem WHERE l_returnflag IS DISTINCT FROM 'A'),
+writes AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS h FROM lineitem WHERE l_returnflag = 'A'),
+outputs AS (SELECT DISTINCT l_partkey AS h FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 50),
 included AS (
   SELECT p FROM writes WHERE h IN (SELECT h FROM outputs)
   UNION SELECT w.p FROM included i JOIN reads r ON r.p = i.p JOIN writes w ON w.h = r.h WHERE r.h NOT IN (SELECT h FROM outputs)
@@ -407,7 +408,7 @@ def provenance_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH RECURSIVE {_GRAPH}, ops AS (
   SELECT 'Exec' AS op_type, 'exec' || 't' || (p % 7) AS s FROM included WHERE p % 2 = 0
-  UNION SELECT 'FileRead', 'file_read' || (CASE WHEN p % 2 = 0 OR true THEN 't' || (p % 7) END) || 'c' || h FROM reads WHERE p IN (SELECT p FROM included)
+  UNION SELECT 'FileRead', 'file_read' || 't' || (p % 7) || 'c' || h FROM reads WHERE p IN (SELECT p FROM included)
   UNION SELECT 'FileWrite', 'file_write' || 't' || (p % 7) || 'c' || h FROM writes WHERE p IN (SELECT p FROM included) AND h IN (SELECT h FROM relevant)
 )
 SELECT DISTINCT op_type, 'sha256:' || sha256(s) AS leaf FROM ops
@@ -418,44 +419,6 @@ def sliced_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select("op_type", "leaf").distinct()
 
 
-#: Every line item is a read or a write; a fixed share of what is written are outputs, however large the table.
-WHOLE = {"reads": "NOT (l_returnflag <=> 'A')", "writes": "l_returnflag = 'A'", "outputs": "l_quantity = 50"}
-
-_WHOLE = """
-reads AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS h FROM lineitem WHERE l_returnflag IS DISTINCT FROM 'A'),
-writes AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS h FROM lineitem WHERE l_returnflag = 'A'),
-outputs AS (SELECT DISTINCT l_partkey AS h FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 50),
-included AS (
-  SELECT p FROM writes WHERE h IN (SELECT h FROM outputs)
-  UNION SELECT w.p FROM included i JOIN reads r ON r.p = i.p JOIN writes w ON w.h = r.h WHERE r.h NOT IN (SELECT h FROM outputs)
-),
-relevant AS (SELECT h FROM outputs UNION SELECT h FROM reads WHERE p IN (SELECT p FROM included))
-"""
-
-
-@query(f"WITH RECURSIVE {_WHOLE} SELECT DISTINCT p AS process FROM included")
-def provenance_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``provenance_closure`` over all line items."""
-    g = _graph(spark, sf_dir, **WHOLE)
-    included, _ = provenance.closure(g["reads"], g["writes"], g["by_path"], g["outputs"])
-    return included.select("process").distinct()
-
-
-@query(f"""
-WITH RECURSIVE {_WHOLE}, ops AS (
-  SELECT 'Exec' AS op_type, 'exec' || 't' || (p % 7) AS s FROM included WHERE p % 2 = 0
-  UNION SELECT 'FileRead', 'file_read' || 't' || (p % 7) || 'c' || h FROM reads WHERE p IN (SELECT p FROM included)
-  UNION SELECT 'FileWrite', 'file_write' || 't' || (p % 7) || 'c' || h FROM writes WHERE p IN (SELECT p FROM included) AND h IN (SELECT h FROM relevant)
-)
-SELECT DISTINCT op_type, 'sha256:' || sha256(s) AS leaf FROM ops
-""")
-def sliced_ops_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sliced_ops`` over all line items."""
-    g = _graph(spark, sf_dir, **WHOLE)
-    ops = provenance.sliced(g["flows"], g["reads"], g["writes"], g["writes"].limit(0), g["by_path"], g["outputs"])
-    return ops.select("op_type", "leaf").distinct()
-
-
 _MOVES = """
 moves AS (SELECT run_id, seq, '/w/d' || (k % 10) AS f, CASE WHEN k % 10 < 3 THEN '/w/d' || (k % 10 + 1) ELSE '/w/x' || (k % 10) END AS g FROM t WHERE kind = 'FileUnlink'),
 start AS (

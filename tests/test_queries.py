@@ -39,7 +39,7 @@ def test_provenance_of_the_whole_table(spark, sf_dir, tmp_path):
     for at, df in ((sf_dir, items), (str(tmp_path), spark.read.parquet(f"{tmp_path}/lineitem.parquet"))):
         rows = df.collect()
         reads, writes = {(r[0], r[1]) for r in rows if r[3] != "A"}, {(r[0], r[1]) for r in rows if r[3] == "A"}
-        g = catalogue._graph(spark, at, **catalogue.WHOLE)
+        g = catalogue._graph(spark, at)
         assert {(r.process, int(r.hash[1:])) for x in ("reads", "writes") for r in g[x].collect()} == {(r[0], r[1]) for r in rows}
         outputs = {r[1] for r in rows if r[3] == "A" and r[2] == 50}
         included, front = set(), {p for p, h in writes if h in outputs}
@@ -47,7 +47,7 @@ def test_provenance_of_the_whole_table(spark, sf_dir, tmp_path):
             included |= front
             seen = {h for p, h in reads if p in front} - outputs
             front = {p for p, h in writes if h in seen} - included
-        assert {r.process for r in catalogue.QUERIES["provenance_closure_whole"](spark, at).collect()} == included
+        assert {r.process for r in catalogue.QUERIES["provenance_closure"](spark, at).collect()} == included
     assert len(included) == 30
 
 
