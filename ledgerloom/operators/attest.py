@@ -7,16 +7,27 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.hashing import commitment_v02, commitment_v03
+from ..tables import materialize
 from . import merkle
 
+#: Leaves of 71 characters that one row can hold by far, and a JSON file should.
+MOST_LEAVES = 5_000_000
+
 
 def assemble(leaves: DataFrame, outputs: DataFrame, command: list[str], selection: dict | None = None, predicate_type: str = "process-provenance/v0.3.0") -> DataFrame:
-    """One document (``run_id`` and the columns of ATTESTATION) per run of ``leaves``; ``outputs``: run_id, path, hash."""
+    """One document (``run_id`` and the columns of ATTESTATION) per run of ``leaves``; ``outputs``: run_id, path, hash.
+
+    A document holds all leaves of its run, so a run of more than MOST_LEAVES
+    has none; its root can still be computed and compared without one.
+    """
+    roots = materialize(merkle.roots(leaves), "roots")
+    if found := roots.where(F.col("leaf_count") > MOST_LEAVES).first():
+        raise ValueError(f"run {found.run_id} has {found.leaf_count} operations, more than a document can hold")
     selection = {"mode": "inferred", "artifacts": [], "output_roots": []} | (selection or {})
     strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     docs = leaves.select("run_id", "leaf").distinct().groupBy("run_id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     outs = outputs.groupBy("run_id").agg(F.sort_array(F.collect_set(F.struct("path", "hash"))).alias("outputs"))
-    docs = docs.join(merkle.roots(leaves), "run_id").join(outs, "run_id", "left")
+    docs = docs.join(roots, "run_id").join(outs, "run_id", "left")
     docs = docs.withColumns({
         "outputs": F.coalesce("outputs", F.array().cast(f"array<{schema.OUTPUT}>")),
         "command": strings(command),

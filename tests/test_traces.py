@@ -396,6 +396,12 @@ def test_attestations(spark, tmp_path):
         plans.harness(frame(spark), roots(spark), ["make"], 1)
 
 
+def test_documents_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(attest, "MOST_LEAVES", 2)
+    with pytest.raises(ValueError, match="run 1 has 3 operations"):
+        attest.assemble(spark.createDataFrame([(0, "a"), *((1, x) for x in "abc")], "run_id long, leaf string"), outputs(spark), ["make"])
+
+
 def test_old_documents(spark):
     nodes = [("r", False), ("l", False), ("r2", False), ("a", True), ("b", True), ("c", True), ("p", True)]
     from ledgerloom.operators import merkle
