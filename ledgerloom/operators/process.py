@@ -101,8 +101,9 @@ def with_tools(events: DataFrame) -> DataFrame:
     """Add ``tool``: what the event's process instance runs at that event, its own exec or what it inherited."""
     upto = Window.partitionBy("run_id", "process").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     own = F.last(F.when(F.col("kind") == "Exec", identity(F.col("obs"))), ignorenulls=True).over(upto)
-    df = events.withColumn("tool", own)
-    if events.where(F.col("kind") == "Fork").isEmpty():
+    # Written, as it is looked through for forks before it is used.
+    df = materialize(events.withColumn("tool", own), "tooled")
+    if df.where(F.col("kind") == "Fork").isEmpty():
         return df
-    above = inherited_tools(events).select("run_id", F.col("child").alias("process"), "inherited")
+    above = inherited_tools(df).select("run_id", F.col("child").alias("process"), "inherited")
     return df.join(above, ["run_id", "process"], "left").withColumn("tool", F.coalesce("tool", "inherited")).drop("inherited")
