@@ -73,10 +73,13 @@ kinds AS (
   FROM base
 ),
 placed AS (SELECT *, 2 * (n + count(*) FILTER (WHERE kind = 'FileRename') OVER (PARTITION BY run_id ORDER BY n ROWS UNBOUNDED PRECEDING)) AS s FROM kinds),
+passed AS (  -- what the source's own filter drops was never seen, and starts no process
+  SELECT * FROM placed WHERE NOT (ext AND ((kind IN ('FileOpen', 'FileUnlink') AND NOT {_NEAR('p')}) OR (kind = 'FileRename' AND NOT ({_NEAR('f')} OR {_NEAR('g')}))))
+),
 every AS (
   SELECT run_id, s AS seq, kind, u AS pid, k, fd, ext, flags, prot, child, CASE WHEN kind IN ('Exec', 'FileOpen', 'FileUnlink') THEN p END AS path,
-    CASE WHEN kind = 'FileRename' THEN f END AS f, CASE WHEN kind = 'FileRename' THEN g END AS g FROM placed
-  UNION ALL SELECT run_id, s + 1, kind, u, k, fd, ext, flags, prot, child, NULL, g, f FROM placed WHERE kind = 'FileRename' AND flags = 2
+    CASE WHEN kind = 'FileRename' THEN f END AS f, CASE WHEN kind = 'FileRename' THEN g END AS g FROM passed
+  UNION ALL SELECT run_id, s + 1, kind, u, k, fd, ext, flags, prot, child, NULL, g, f FROM passed WHERE kind = 'FileRename' AND flags = 2
 ),
 sights AS (
   SELECT run_id, seq, pid, 0 AS born, kind FROM every UNION ALL SELECT run_id, seq, child, 1, 'Fork' FROM every WHERE kind = 'Fork'

@@ -52,7 +52,7 @@ def admitted(raw: DataFrame, watch: list[str] = ()) -> DataFrame:
     kind, untracked = F.col("kind"), F.coalesce(F.col("source") == 1, F.lit(False))
     flags, prefixes = F.coalesce("flags", F.lit(0).cast("long")), list(watch)
     failed = kind.isin(1, 5) & (F.col("fd") < 0)
-    far = untracked & (((kind == 1) & ~keeps_untracked_open(F.col("path"), flags, prefixes)) | ((kind == 8) & ~keeps_untracked_unlink(F.col("path"), prefixes)))
+    far = untracked & F.col("path").isNotNull() & (((kind == 1) & ~keeps_untracked_open(F.col("path"), flags, prefixes)) | ((kind == 8) & ~keeps_untracked_unlink(F.col("path"), prefixes)))
     return raw.where(~F.coalesce(failed | far, F.lit(False)))
 
 
