@@ -51,8 +51,12 @@ def framed(text: Column) -> Column:
 
 
 def _all(parts: Column, one) -> Column:
-    """The number of parts, then each as bytes."""
-    joined = F.aggregate(F.transform(parts, one), F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
+    """The number of parts, then each as bytes; null if one of them is.
+
+    They are joined at once (a string may hold any bytes): adding them one by one would copy what is there for each.
+    """
+    each = F.transform(parts, lambda x: one(x).cast("string"))
+    joined = F.when(~F.exists(each, lambda x: x.isNull()), F.array_join(each, "").cast("binary"))
     return F.concat(u32(F.size(parts)), joined)
 
 

@@ -14,6 +14,7 @@ from .catalogue import _digest, _hex_text, _hex_u32, _merkle_sql, _numbered, _re
 from .forest import _EVENTS, _TOOLS, _ops, traced_view
 from .functions import hashing, paths
 from .operators import attest, canonical, compare, enrich, merkle, process, provenance
+from .tables import materialize
 
 # --- documents of customers ------------------------------------------------------------------------
 
@@ -284,7 +285,9 @@ def document_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def document(rows: DataFrame, text: Column) -> DataFrame:
         outs = rows.select(F.lit(0).cast("long").alias("run_id"), _text(F.col("source"), "/", F.col("doc_id")).alias("path"), hashing.sha256(text.cast("binary")).alias("hash"))
-        return attest.assemble(outs.select("run_id", F.col("hash").alias("leaf")), outs, ["make"])
+        # Texts are hashed once, and each document is made once for all that is shown of it.
+        outs = materialize(outs, "outputs")
+        return materialize(attest.assemble(outs.select("run_id", F.col("hash").alias("leaf")), outs, ["make"]), "document")
 
     expected = document(d.where("doc_id % 5 <> 0"), F.when(F.col("doc_id") % 7 == 0, _text(F.col("text"), "x")).otherwise(F.col("text")))
     found = plans.diff(expected, document(d.where("doc_id % 3 <> 0"), F.col("text")))

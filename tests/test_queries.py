@@ -51,6 +51,12 @@ def test_provenance_of_the_whole_table(spark, sf_dir, tmp_path):
     assert len(included) == 30
 
 
+def test_documents_are_made_once(spark, sf_dir):
+    """What is shown of two documents is read from them; texts aren't hashed anew for each part of it."""
+    shown = queries.QUERIES["document_diff"](spark, sf_dir)
+    assert shown.inputFiles() and not any(sf_dir in f for f in shown.inputFiles())
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__
 
