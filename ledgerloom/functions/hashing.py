@@ -55,8 +55,8 @@ def _all(parts: Column, one) -> Column:
 
     They are joined at once (a string may hold any bytes): adding them one by one would copy what is there for each.
     """
-    each = F.transform(parts, lambda x: one(x).cast("string"))
-    joined = F.when(~F.exists(each, lambda x: x.isNull()), F.array_join(each, "").cast("binary"))
+    joined = F.array_join(F.transform(parts, lambda x: one(x).cast("string")), "").cast("binary")
+    joined = F.when(~F.exists(parts, lambda x: one(x).isNull()), joined)
     return F.concat(u32(F.size(parts)), joined)
 
 

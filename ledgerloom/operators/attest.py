@@ -26,7 +26,9 @@ def assemble(leaves: DataFrame, outputs: DataFrame, command: list[str], selectio
     selection = {"mode": "inferred", "artifacts": [], "output_roots": []} | (selection or {})
     strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     docs = leaves.select("run_id", "leaf").distinct().groupBy("run_id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-    outs = outputs.groupBy("run_id").agg(F.sort_array(F.collect_set(F.struct("path", "hash"))).alias("outputs"))
+    outs = outputs.select("run_id", "path", "hash").distinct().groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("path", "hash"))).alias("outputs"))
+    # The lists of a large run are made in tasks of their own.
+    docs, outs = materialize(docs, "lists"), materialize(outs, "lists")
     docs = docs.join(roots, "run_id").join(outs, "run_id", "left")
     docs = docs.withColumns({
         "outputs": F.coalesce("outputs", F.array().cast(f"array<{schema.OUTPUT}>")),
