@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -43,11 +45,21 @@ def process_cache(name: str) -> dict:
     module = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache"))
     kept = module.__dict__.setdefault("kept", {})
     if name not in kept:
-        kept.clear()
+        if kept:
+            kept.clear()
+            _give_back()
         kept[name] = {}
     return kept[name]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: else a worker keeps what the last operator's cache took beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
     """``text``, ``y`` of at most ``limit`` labelled rows that aren't held out, chosen by a hash of the id.
 

@@ -856,3 +856,19 @@ def test_bitmap(spark):
     bitmap = IdBitmap(df.where("x % 10 = 0").select("i"), bits=1 << 16)
     kept, rest = (bitmap.keep(df, "i", others=o).collect() for o in (False, True))
     assert len(kept) + len(rest) == 1000 and {r.x for r in kept} >= set(range(0, 1000, 10)) and 7 in {r.x for r in rest}
+
+
+def test_memory_of_a_cache_is_given_back():
+    from ledgerloom.llm.common import process_cache
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    process_cache("one")["x"] = []
+    before = held()
+    process_cache("one")["x"] += [bytes(600) for _ in range(200_000)]
+    last = bytes(600)  # what stands above the rest keeps the allocator from returning it unasked
+    assert held() - before > 100
+    process_cache("another")
+    assert held() - before < 40 and len(last) == 600
